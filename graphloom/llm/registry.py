@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import piece_codec, secret_scan, token_counts
+from graphloom.llm import language_id, mixing, near_dedup, piece_codec, quality, secret_scan, token_counts
+from graphloom.llm.common import bucket_of_id
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,6 +21,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train_on(docs, 3, 1))
+    return found.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, _table(spark, sf_dir, "labels"), bucket_of_id("doc_id", 5) != 0)
+    return quality.score_quality(docs, model).select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +41,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECES, token_counts.fresh_cache(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scan, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_components(_table(spark, sf_dir, "documents"), 85, 3)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op4_secret_scan, op6_token_counts, op9_near_dedup, op10_mixing)}
+ORACLES: dict[str, str] = {"op9_near_dedup": near_dedup.oracle_sql(), "op10_mixing": mixing.oracle_sql()}
