@@ -3,7 +3,7 @@
 1. Every text becomes a set of hashed word shingles; 2 collections of TABLES short bands of ROWS minhashes are
    taken from it. The key of table (i, j) joins band i of the first collection with band j of the second, so
    2 * TABLES * ROWS minhashes give TABLES**2 tables of 2 * ROWS rows each. At a similarity of 0.85 a pair
-   shares no key with probability 2e-5.
+   shares no key with probability 5e-7, at 0.8 with 2e-5.
 2. Documents with equal sets form a class and only its smallest id goes on. A class whose bands are all alone
    in one of the collections can share no key and goes no further.
 3. Each key proposes its smallest id as centre. A document is held, on full sets, against two centres at
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Memo, kept, prepare
 
-ROWS, TABLES, TILE = 3, 12, 256
+ROWS, TABLES, TILE = 3, 16, 256
 BROADCAST_IDS = 500_000
 #: Signature agreement, of 2 * ROWS * TABLES minhashes, under which a pair at the similarity is too unlikely (5 deviations).
 SLACK = 5.0

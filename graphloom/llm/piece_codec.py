@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -111,7 +112,8 @@ class PieceCodec:
         for i, (p, _, k) in enumerate(pieces):
             self.surface[i] = bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else self.text[i].encode()
         self.surface_of = {str(i): b for i, b in self.surface.items()}
-        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))))
+        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))), 1_000_000)
+        self.surfaces = Memo(lambda decimal: b"".join([self.surface_of[i] for i in decimal.split(" ")]), 500_000, 24)
 
     def _merge(self, text: str) -> list[str]:
         """The plain definition: the best-scored neighbours join, the leftmost first, until none can."""
@@ -165,7 +167,10 @@ class PieceCodec:
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of text in which spaces stand for themselves, without a dummy prefix."""
-        ids, start, letters = [], 0, self.letters
+        letters = self.letters
+        if letters.issuperset(unit):
+            return self._backtrack(unit)
+        ids, start = [], 0
         for k, ch in enumerate(unit):
             if ch not in letters:
                 if k > start:
@@ -176,21 +181,20 @@ class PieceCodec:
             ids += self._backtrack(unit[start:] if start else unit)
         return ids
 
+    def encode_parts(self, text: str | None) -> list[str]:
+        """The ids of each unit of the text, as decimals joined by one space; null counts as the empty text, which has none."""
+        return list(map(self.units.__getitem__, UNITS.findall(" " + text.replace(SPACE, " ")))) if text else []
+
     def encode_decimal(self, text: str | None, eos: bool = False) -> str:
-        """The ids as decimals joined by one space; null counts as the empty text, which has no ids."""
-        end = [str(self.eos)] if eos else []
-        if not text:
-            return " ".join(end)
-        return " ".join([*map(self.units.__getitem__, UNITS.findall(" " + text.replace(SPACE, " "))), *end])
+        """All ids as decimals joined by one space."""
+        return " ".join([*self.encode_parts(text), str(self.eos)] if eos else self.encode_parts(text))
 
     def encode(self, text: str | None, eos: bool = False) -> list[int]:
         return [int(i) for i in self.encode_decimal(text, eos).split()]
 
-    def decode_bytes(self, decimal: str) -> bytes:
-        """UTF-8 of the text of decimal ids: one leading space goes, bytes that are no character become U+FFFD each."""
-        ids = decimal.split(" ") if decimal else []
-        surface = self.surface_of
-        raw = b"".join([surface[i] for i in ids])
+    def decode_bytes(self, parts: list[str]) -> bytes:
+        """UTF-8 of the text of ids, given as decimals in any chunks: one leading space goes, bytes that are no character become U+FFFD each."""
+        raw = b"".join(map(self.surfaces.__getitem__, parts))
         try:
             raw.decode()
         except UnicodeDecodeError:
@@ -202,11 +206,11 @@ class PieceCodec:
                 except UnicodeDecodeError as e:
                     out, text = out + text[: e.start] + "�".encode(), text[e.start + 1 :]
             raw = out
-        first = next((i for i in ids if self.kinds[int(i)] != CONTROL), None)
-        return raw[1:] if first is not None and self.kinds[int(first)] == NORMAL and raw[:1] == b" " else raw
+        first = next((i for part in parts for i in map(int, part.split(" ")) if self.kinds[i] != CONTROL), None)
+        return raw[1:] if first is not None and self.kinds[first] == NORMAL and raw[:1] == b" " else raw
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_bytes(" ".join(map(str, ids))).decode()
+        return self.decode_bytes([str(i) for i in ids]).decode()
 
 
 _LOADED: dict[str, PieceCodec] = {}
@@ -230,9 +234,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            decimals = [c.encode_decimal(t) for t in batch.column(1).to_pylist()]
-            ids = pa.array([[int(i) for i in d.split()] for d in decimals], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([c.decode_bytes(d).decode() for d in decimals])], ["doc_id", "ids", "decoded"])
+            found = [c.encode_parts(t) for t in batch.column(1).to_pylist()]
+            ids = pa.array([np.fromstring(" ".join(p), np.int32, sep=" ") for p in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([c.decode_bytes(p).decode() for p in found])], ["doc_id", "ids", "decoded"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -249,22 +253,28 @@ def decode_documents(tokens: DataFrame, model_path: str, id_col: str = "doc_id",
     return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode_documents with an end id, but the ids and the decoded text leave the worker as digests only.
+def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """As encode_documents with an end id, but the ids and the decoded text leave the worker as digests.
 
-    Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 (UTF-8).
+    Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (UTF-8) and, if asked
+    for, the ids themselves.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(model_path), hashlib.sha256
         for batch in batches:
-            counts, ids, decoded = [], [], []
+            counts, ids, decoded, arrays = [], [], [], []
             for text in batch.column(1):
-                decimal = c.encode_decimal(text.as_py(), eos=True)
-                counts.append(decimal.count(" ") + 1)
-                ids.append(sha(decimal.encode()).hexdigest())
-                decoded.append(sha(c.decode_bytes(decimal)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+                parts = [*c.encode_parts(text.as_py()), str(c.eos)]
+                decimal = " ".join(parts).encode()
+                counts.append(decimal.count(b" ") + 1)
+                ids.append(sha(decimal).hexdigest())
+                decoded.append(sha(c.decode_bytes(parts)).hexdigest())
+                if with_ids:
+                    arrays.append(np.fromstring(decimal, np.int32, sep=" "))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(arrays, pa.list_(pa.int32()))] if with_ids else columns, [*names, "ids"] if with_ids else names)
+
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" if with_ids else SCHEMA)
