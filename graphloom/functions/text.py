@@ -163,8 +163,11 @@ def discourse_weight(a: Column, b: Column, lexicon: dict[str, list[str]] | None
 def pattern_entities(x: Column, ignore_case: bool = True, patterns: dict[str, str] | None = None) -> Column:
     """`TYPE:match` in lower case for every match of every pattern, repeats kept."""
     flag = "(?i)" if ignore_case else ""
-    found = [F.transform(F.regexp_extract_all(x, F.lit(f"{flag}({p})"), 1), lambda m, k=kind: F.concat(F.lit(k + ":"), F.lower(m))) for kind, p in (patterns or L.ENTITY_PATTERNS).items()]
-    return F.concat(*found)
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(x, F.lit(f"{flag}({pattern})"), 1), lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m)))
+
+    return F.concat(*(named(kind, p) for kind, p in (patterns or L.ENTITY_PATTERNS).items()))
 
 
 def fuzzy_overlap(query: Column, target: Column) -> Column:

@@ -42,11 +42,12 @@ def density(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return counts.join(e, "graph", "left").na.fill(0, ["edges"]).select("graph", "nodes", "edges", ratio.alias("density"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, nodes: DataFrame | None = None, tolerance: float | None = None, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, nodes: DataFrame | None = None, tolerance: float | None = None, every: int = 2) -> DataFrame:
     """Weighted PageRank with uniform redistribution of dangling mass, for all graphs together.
 
     A fixed number of iterations, or fewer once every graph's L1 change is below nodes * tolerance (tested each
-    `every` steps, when the ranks are written to shared storage and their lineage ends).
+    `every` steps, when the ranks are written to shared storage and their lineage ends; a step reads the ranks
+    twice, so plans between checkpoints are kept short).
     """
     node = cut((nodes if nodes is not None else nodes_of(edges)).select("graph", "node").distinct())
     out = edges.groupBy("graph", "src").agg(F.sum("weight").alias("total"))
@@ -71,7 +72,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, nod
     return state.select("graph", "node", F.col("rank").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, iterations: int = 100, every: int = 10) -> DataFrame:
+def eigenvector(edges: DataFrame, iterations: int = 100, every: int = 2) -> DataFrame:
     """Eigenvector centrality by power iteration of (A + I), normalised each step; the start is uniform."""
     node = nodes_of(edges)
     size = node.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +151,7 @@ def _adjacency(pdf: pd.DataFrame, directed: bool) -> tuple[list, dict]:
 def betweenness(edges: DataFrame, directed: bool = True) -> DataFrame:
     """Unweighted normalised betweenness (Brandes 2001) of each graph, in one group a graph."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf, directed)
         score = dict.fromkeys(names, 0.0)
         for s in names:
@@ -182,7 +183,7 @@ def betweenness(edges: DataFrame, directed: bool = True) -> DataFrame:
 def closeness(edges: DataFrame) -> DataFrame:
     """Closeness over incoming paths, scaled by the reached share."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf, True)
         into = defaultdict(list)
         for s in names:
@@ -208,7 +209,7 @@ def closeness(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame) -> DataFrame:
     """Greedy modularity communities (Clauset, Newman, Moore 2004) of each undirected graph, numbered by falling size and smallest node."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf.assign(weight=1.0), False)
         total = sum(len(near[v]) + (v in near[v]) for v in names) / 2
         groups = {v: {v} for v in names}
@@ -242,7 +243,7 @@ def communities(edges: DataFrame) -> DataFrame:
 def weighted_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """graph, a, b, nodes, length of the path with the least summed weight along directed edges; no row if there is none."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         _, near = _adjacency(left, True)
         rows = []
         for a, targets in right.groupby("a")["b"]:
@@ -266,7 +267,9 @@ def weighted_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     kinds = dict(edges.dtypes)
     g, n = kinds["graph"], kinds["src"]
-    return edges.select("graph", "src", "dst", "weight").groupBy("graph").cogroup(pairs.select("graph", "a", "b").groupBy("graph")).applyInPandas(run, f"graph {g}, a {n}, b {n}, nodes array<{n}>, length double")
+    left = edges.select(*(F.col(c).alias(c) for c in ("graph", "src", "dst", "weight")))
+    right = pairs.select(*(F.col(c).alias(c) for c in ("graph", "a", "b")))
+    return left.groupBy("graph").cogroup(right.groupBy("graph")).applyInPandas(run, f"graph {g}, a {n}, b {n}, nodes array<{n}>, length double")
 
 
 def span_centrality(edges: DataFrame, iterations: int = 100) -> DataFrame:

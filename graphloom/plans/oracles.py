@@ -27,7 +27,7 @@ def _space_tokens(x: str) -> str:
 
 def _answer(x: str) -> str:
     bare = f"regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\\[-`{{-~]', '', 'g')"
-    return _squeeze(f"regexp_replace({bare}, '\\b(a|an|the)\\b', ' ', 'g')")
+    return f"array_to_string(list_filter(string_split_regex({bare}, '\\s+'), lambda t: t not in ('', 'a', 'an', 'the')), ' ')"
 
 
 def _answer_tokens(x: str) -> str:

@@ -500,7 +500,7 @@ def kg_communities(spark, sf):
 
 @query
 def tfidf_importance(spark, sf):
-    return bm25.importance(table(spark, sf, "documents"), "doc_id", "text", L.STOP_WORDS).select("doc_id", F.round("importance", 6).alias("importance"))
+    return bm25.importance(table(spark, sf, "documents"), "doc_id", "text", L.STOP_WORDS).select(F.col("doc").alias("doc_id"), F.round("importance", 6).alias("importance"))
 
 
 @query
