@@ -186,7 +186,7 @@ e as (select page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'
  replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') body from c)
 select page_id, title, trim(regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ') body from e""",
     "pattern_entities": "select doc_id, entity, count(*) n from (" + " union all ".join(f"select doc_id, {_q(k + ':')} || lower(unnest(regexp_extract_all(text, {_q('(?i)(' + p + ')')}, 1))) entity from documents" for k, p in L.ENTITY_PATTERNS.items() if k != "PERSON/ORG") + ") group by 1, 2",
-    "person_entities": f"select item_id, entity, count(*) n from (select item_id, 'PERSON/ORG:' || lower(unnest(regexp_extract_all(translate(text, 'éèêçíóñáäöüß', 'eeecionaaous'), {_q('(?i)(' + L.ENTITY_PATTERNS['PERSON/ORG'] + ')')}, 1))) entity from benchmark) group by 1, 2",
+    "person_entities": f"select item_id, entity, count(*) n from (select item_id, 'PERSON/ORG:' || lower(unnest(regexp_extract_all(translate(text, 'éèêçíóñáäöüßÉÈÊÇÍÓÑÁÄÖÜ', 'eeecionaaousEEECIONAAOU'), {_q('(?i)(' + L.ENTITY_PATTERNS['PERSON/ORG'] + ')')}, 1))) entity from benchmark) group by 1, 2",
     "discourse_types": f"select doc_id, array_to_string({_discourse(L.DISCOURSE, 'lower(text)')}, ',') types from documents",
     "bm25_topk": f"with {_bm25(_tokens)} select query, doc, score, rank from top",
     "rag_bm25_topk": f"with {_bm25(_space_tokens)} select query, doc, score, rank from top",

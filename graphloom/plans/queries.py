@@ -123,7 +123,7 @@ def pattern_entities(spark, sf):
 
 @query
 def person_entities(spark, sf):
-    text = F.translate(F.col("text"), "éèêçíóñáäöüß", "eeecionaaous")
+    text = F.translate(F.col("text"), "éèêçíóñáäöüßÉÈÊÇÍÓÑÁÄÖÜ", "eeecionaaousEEECIONAAOU")
     found = table(spark, sf, "benchmark").select("item_id", F.explode(X.pattern_entities(text, patterns={"PERSON/ORG": L.ENTITY_PATTERNS["PERSON/ORG"]})).alias("entity"))
     return found.groupBy("item_id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
