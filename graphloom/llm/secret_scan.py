@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = ("credential", "passphrase", "private_key", "privatekey", "access_key", "accesskey", "client_secret", "bearer", "authorization", "auth_token", "signing_key", "encryption_key", "pwd", "secret", "token", "password", "passwd", "apikey", "api_key", "api-key")
 CANDIDATE = re.compile(r"""(?:%s)s?["'`]?[\x20\t]*(?::=|=>|[:=]|\x20)?[\x20\t]*["'`]?([A-Za-z0-9+/_=~.!@#%%^&*-]{16,512})""" % "|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 #: Marginal compressed bytes a character from which a candidate counts as random.
-NOVELTY, AROUND = 0.6, 96
+NOVELTY, AROUND = 0.87, 96
 PRIMER = zstandard.ZstdCompressionDict(
     (
         "public static void private protected final class import from return function const let var def self this null true false None async await "
