@@ -55,17 +55,21 @@ def promote(answers: DataFrame, sentences: DataFrame, most: int = 220) -> DataFr
 
 
 def reorder_contexts(contexts: DataFrame, questions: DataFrame) -> DataFrame:
-    """q_id, pos, text, place: the context of the best BM25 moves to the front if it isn't there, scores above 0, and the first scores 0 or less than 1/1.5 of it."""
-    scored = bm25_score(contexts, questions, "pos", "text", "q_id", "question", per=["q"])
-    joined = contexts.join(scored.select("q", F.col("doc").alias("pos"), "score"), ["q", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy("q")
-    best = F.max(F.struct("score", -F.col("pos"))).over(w)
-    first = F.min(F.struct("pos", "score")).over(w)
+    """q_id, pos, text, score, place: the context of the best BM25 moves to the front if it isn't there, scores above 0, and the first scores 0 or less than 1/1.5 of it.
+
+    contexts: q_id, pos, text; questions: q_id, question. Each question's contexts are a corpus of their own.
+    """
+    scored = bm25_score(contexts, questions, "pos", "text", "q_id", "question", per=["q_id"])
+    joined = contexts.select("q_id", "pos", "text").join(scored.select("q_id", F.col("doc").alias("pos"), "score"), ["q_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    w = Window.partitionBy("q_id")
+    best = F.max(F.struct(F.col("score").alias("s"), (-F.col("pos")).alias("p"))).over(w)
+    first = F.min(F.struct(F.col("pos").alias("p"), F.col("score").alias("s"))).over(w)
     tagged = joined.withColumns({"best": best, "first": first})
-    top = -F.col("best.col2")
-    move = (top != F.col("first.pos")) & (F.col("best.score") > 0) & ((F.col("first.score") == 0) | (F.col("best.score") > 1.5 * F.col("first.score")))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.when(move & (F.col("pos") == top), 0).otherwise(1), "pos"))
-    return tagged.select("q", "pos", "text", "score", place.alias("place"))
+    top = -F.col("best.p")
+    move = (top != F.col("first.p")) & (F.col("best.s") > 0) & ((F.col("first.s") == 0) | (F.col("best.s") > 1.5 * F.col("first.s")))
+    tagged = tagged.withColumn("front", F.when(move & (F.col("pos") == top), 0).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("front", "pos"))
+    return tagged.select("q_id", "pos", "text", "score", place.alias("place"))
 
 
 def qa_contexts(contexts: DataFrame, merged: int = 5, characters: int = 350) -> DataFrame:
