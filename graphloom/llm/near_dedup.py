@@ -245,14 +245,13 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
 
 
 def keep_one_each(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
-    """The input's rows and columns without those whose component has a smaller id; of equal rows of an id one stays.
+    """The input's rows and columns without those whose component has a smaller id; rows that repeat a kept id stay.
 
     Removed ids are joined back by a broadcast only while they are few; else both sides are dealt by id.
     """
     gone = kept(link_components(docs, percent, words_each).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
     few = gone.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    return rest
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
 
 
 def oracle_sql(percent: int = 85) -> str:
