@@ -21,6 +21,12 @@ PUNCTUATION = "[!-/:-@\\[-`{-~]"
 SENTENCE_END = "(?<=[.!?।॥])\\s+"
 
 
+def bind(use, **values: Column) -> Column:
+    """use(row) with each value computed once: expressions inside a higher-order function's lambda run for every element."""
+    row = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
+    return F.get(F.transform(row, use), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """White space runs become one space, ends trimmed."""
     return F.trim(F.regexp_replace(x, "\\s+", " "))
@@ -176,7 +182,7 @@ def fuzzy_overlap(query: Column, target: Column) -> Column:
     def near(q, t):
         return (q == t) | ((F.length(q) >= 4) & (F.length(t) >= 4) & (F.startswith(q, t) | F.startswith(t, q)))
 
-    return F.size(F.filter(query, lambda q: F.exists(target, lambda t: near(q, t))))
+    return bind(lambda r: F.size(F.filter(r["q"], lambda q: F.exists(r["t"], lambda t: near(q, t)))), q=query, t=target)
 
 
 def comparison_form(x: Column) -> Column:

@@ -25,17 +25,25 @@ def multiset_intersection(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
 
 
-def _ratio(same: Column, tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 0, same / F.size(tokens)).otherwise(0.0)
+def _prf(same: Column, n_pred: Column, n_gold: Column, otherwise: Column) -> Column:
+    """struct<precision, recall, f1> from counts, `otherwise` for all three where no token is shared."""
+    precision, recall = same / n_pred, same / n_gold
+    f1 = 2 * precision * recall / (precision + recall)
+    return F.struct(*(F.when(same > 0, v).otherwise(otherwise).alias(n) for n, v in (("precision", precision), ("recall", recall), ("f1", f1))))
+
+
+def _bags(pred: Column, gold: Column, use) -> Column:
+    """use(prediction tokens, gold tokens, shared tokens), the tokens made once a row."""
+
+    def counted(r):
+        return X.bind(lambda x: use(r["p"], r["g"], x["same"]), same=multiset_intersection(r["p"], r["g"]))
+
+    return X.bind(counted, p=X.answer_tokens(pred), g=X.answer_tokens(gold))
 
 
 def precision_recall_f1(pred: Column, gold: Column) -> Column:
     """struct<precision, recall, f1> over answer tokens; all 0 without a shared token."""
-    p, g = X.answer_tokens(pred), X.answer_tokens(gold)
-    same = multiset_intersection(p, g)
-    precision, recall = _ratio(same, p), _ratio(same, g)
-    f1 = F.when(same > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    return _bags(pred, gold, lambda p, g, same: _prf(same, F.size(p), F.size(g), F.lit(0.0)))
 
 
 def _first_number(x: Column) -> Column:
@@ -45,23 +53,25 @@ def _first_number(x: Column) -> Column:
 
 def f1_with_fallbacks(pred: Column, gold: Column) -> Column:
     """As precision_recall_f1, but both empty is 1, one empty 0; without a shared token containment is 0.6 and first numbers within 1 % are 1."""
-    p, g = X.answer_tokens(pred), X.answer_tokens(gold)
-    same = multiset_intersection(p, g)
-    np_, ng = F.size(p), F.size(g)
     a, b = _first_number(pred), _first_number(gold)
     close = F.coalesce(F.abs(a - b) <= F.greatest(F.lit(1e-6), 0.01 * F.greatest(F.abs(b), F.lit(1.0))), F.lit(False))
-    fallback = F.when((np_ == 0) & (ng == 0), 1.0).when((np_ == 0) | (ng == 0), 0.0).when(substring_match(pred, gold) == 1, 0.6).when(close, 1.0).otherwise(0.0)
-    precision = F.when(same > 0, same / np_).otherwise(fallback)
-    recall = F.when(same > 0, same / ng).otherwise(fallback)
-    f1 = F.when(same > 0, 2 * (same / np_) * (same / ng) / (same / np_ + same / ng)).otherwise(fallback)
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    other = F.when(substring_match(pred, gold) == 1, 0.6).when(close, 1.0).otherwise(0.0)
+
+    def scored(p, g, same):
+        np_, ng = F.size(p), F.size(g)
+        return _prf(same, np_, ng, F.when((np_ == 0) & (ng == 0), 1.0).when((np_ == 0) | (ng == 0), 0.0).otherwise(other))
+
+    return _bags(pred, gold, scored)
 
 
 def evidence_recall_at(evidence: Column, gold: Column, k: int = 5) -> Column:
     """1 if the normalised gold answer is in one of the first k evidence texts."""
-    g = X.normalize_answer(gold)
-    hit = F.exists(F.slice(evidence, 1, k), lambda e: F.contains(X.normalize_answer(e), g))
-    return F.coalesce(((g != "") & hit).cast("double"), F.lit(0.0))
+
+    def found(r):
+        hit = F.exists(F.slice(r["evidence"], 1, k), lambda e: F.contains(X.normalize_answer(e), r["g"]))
+        return F.coalesce(((r["g"] != "") & hit).cast("double"), F.lit(0.0))
+
+    return X.bind(found, g=X.normalize_answer(gold), evidence=evidence)
 
 
 def reasoning_depth(first: Column, second: Column) -> Column:
