@@ -167,8 +167,6 @@ def _align_block(top: int):
                 keys, votes = np.unique(owner[at] * width + shift + len(q), return_counts=True)
                 rec = keys // width
                 # an entry whose best offset has too few votes is no match
-                most = np.zeros(len(prints), np.int64)
-                np.maximum.at(most, rec, votes)
                 for e in np.unique(rec[votes >= MIN_VOTES]).tolist():
                     offset, v, error = align(q, prints[e])
                     if error <= MAX_ERROR:

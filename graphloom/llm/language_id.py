@@ -25,7 +25,7 @@ from graphloom.llm.common import bucket_of_id, prepare
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (3, 4)
 PER_LANGUAGE, EPOCHS, RATE = 500, 12, 4.0
 #: Of correctly predicted calibration rows, the share that the threshold may reject, and its ceiling.
-REJECT, CEILING = 0.0, 0.5
+REJECT, CEILING = 0.0, 0.35
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 _KEEP = np.full(256, 32, np.uint32)
