@@ -37,7 +37,7 @@ SLACK = 5.0
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(0, 2**63, 2 * ROWS * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 400_000, 64)
+_WORDS = Memo(xxhash.xxh3_64_intdigest, 200_000, 64)
 
 
 def shingles(text: str | None, words_each: int = 3) -> np.ndarray:
@@ -93,6 +93,7 @@ def sketch(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "signature"]
             )
+        _WORDS.clear()  # the worker goes on to other work
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
@@ -209,6 +210,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words_each).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+        _WORDS.clear()
 
     sets = kept(wanted.mapInArrow(full, "id long, set binary").filter(F.length("set") > 0))
 

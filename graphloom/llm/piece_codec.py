@@ -112,8 +112,8 @@ class PieceCodec:
         for i, (p, _, k) in enumerate(pieces):
             self.surface[i] = bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else self.text[i].encode()
         self.surface_of = {str(i): b for i, b in self.surface.items()}
-        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))), 1_000_000)
-        self.surfaces = Memo(lambda decimal: b"".join([self.surface_of[i] for i in decimal.split(" ")]), 500_000, 24)
+        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))), 400_000)
+        self.surfaces = Memo(lambda decimal: b"".join([self.surface_of[i] for i in decimal.split(" ")]), 150_000, 24)
 
     def _merge(self, text: str) -> list[str]:
         """The plain definition: the best-scored neighbours join, the leftmost first, until none can."""
@@ -144,7 +144,7 @@ class PieceCodec:
         size, longest = len(run), [-1] * len(run)
         for end, piece in self.automaton.iter(run[::-1]):
             start = size - 1 - end
-            if longest[start] < 0 or len(self.text[piece]) > len(self.text[longest[start]]):
+            if longest[start] < 0:  # of the pieces that end at a position the automaton gives the longest first
                 longest[start] = piece
         failed, ids, at = bytearray((size >> 3) + 1), [], 0
         text, shorter, compatible, token = self.text, self.shorter, self.compatible, longest[0]
