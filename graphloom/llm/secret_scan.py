@@ -5,13 +5,15 @@ sensitive context (after a word such as credential or bearer and an assignment o
 each candidate the scan measures its marginal compressed bytes: the zstandard size of the code around it
 with the candidate in it, less the size without, with a compressor primed by a dictionary of identifiers,
 key words and common word parts. Words and identifiers cost few bytes a character; random key material can't
-be compressed below the entropy of its alphabet. A candidate is reported as `novel` if its novelty, marginal
-bytes a character, is at least NOVELTY and it mixes letters and digits.
+be compressed below the entropy of its alphabet. A candidate is reported as `novel` if it mixes letters and
+digits, its novelty, marginal bytes a character, is at least NOVELTY of its own alphabet's entropy, and it isn't
+made of word parts: new identifiers cost as much as keys, but nearly all their letter pairs occur in the dictionary.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +30,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make what follows them sensitive.
 SENSITIVE = ("credential", "passphrase", "private_key", "privatekey", "access_key", "accesskey", "client_secret", "bearer", "authorization", "auth_token", "signing_key", "encryption_key", "pwd", "secret", "token", "password", "passwd", "apikey", "api_key", "api-key")
 CANDIDATE = re.compile(r"""(?:%s)s?["'`]?[\x20\t]*(?::=|=>|[:=]|\x20)?[\x20\t]*["'`]?([A-Za-z0-9+/_=~.!@#%%^&*-]{16,512})""" % "|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-#: Marginal compressed bytes a character from which a candidate counts as random.
-NOVELTY, AROUND = 0.87, 96
+#: Share of its alphabet's entropy from which a candidate's marginal compressed bytes count as random.
+NOVELTY, AROUND = 0.9, 96
+#: From so many letter pairs on, a candidate with over this share of known pairs is made of word parts.
+WORD_PAIRS, WORDLIKE = 6, 0.8
 PRIMER = zstandard.ZstdCompressionDict(
     (
         "public static void private protected final class import from return function const let var def self this null true false None async await "
@@ -43,6 +47,8 @@ PRIMER = zstandard.ZstdCompressionDict(
     ).encode(),
     dict_type=zstandard.DICT_TYPE_RAWCONTENT,
 )
+_LETTERS, _DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]")
+_PAIRS = {w[i : i + 2] for w in _LETTERS.findall(PRIMER.as_bytes().decode().lower()) for i in range(len(w) - 1)}
 _COMPRESS = zstandard.ZstdCompressor(level=6, dict_data=PRIMER, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -52,6 +58,29 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (size(before + candidate + after) - size(before + after)) / max(1, len(candidate))
 
 
+def alphabet_size(candidate: str) -> int:
+    """Characters a candidate draws from, by the kinds it has: hex of one case, or digits and each case; and its own symbols."""
+    plain = "".join(c for c in candidate if c.isalnum())
+    if set(plain) <= set("0123456789abcdef") or set(plain) <= set("0123456789ABCDEF"):
+        known = 16
+    else:
+        known = 10 * bool(_DIGITS.search(plain)) + 26 * (plain != plain.upper()) + 26 * (plain != plain.lower())
+    return known + len(set(candidate) - set(plain))
+
+
+def made_of_words(candidate: str) -> bool:
+    """Whether nearly all pairs of adjacent letters are the dictionary's; strings in hex have too few letters to tell."""
+    if alphabet_size(candidate) - len({c for c in candidate if not c.isalnum()}) == 16:
+        return False
+    pairs = [w[i : i + 2] for w in _LETTERS.findall(candidate.lower()) for i in range(len(w) - 1)]
+    return len(pairs) >= WORD_PAIRS and sum(p in _PAIRS for p in pairs) > WORDLIKE * len(pairs)
+
+
+def is_random(candidate: str, cost: float) -> bool:
+    """Whether a candidate of that novelty is random: no length passes or fails by the compressor's fixed costs alone."""
+    return cost >= NOVELTY * math.log2(alphabet_size(candidate)) / 8 and not made_of_words(candidate)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end, kind of the fixed shapes, by start and then kind as listed. Cheap substring tests come first; they skip no match."""
     spans = []
@@ -79,7 +108,7 @@ def scan(text: str | None) -> list[tuple[int, int, str, float]]:
             if any(a < e and s < b for s, e in taken) or not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
                 continue
             n = novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND])
-            if n >= NOVELTY:
+            if is_random(value, n):
                 found.append((a, b, "novel", n))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 

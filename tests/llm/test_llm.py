@@ -81,6 +81,17 @@ def test_secret_spans():
     assert secret_scan.redact(text) == "x [SECRET]\" [SECRET] [SECRET] token=short"
 
 
+def test_random_keys_of_every_alphabet_and_length_are_random():
+    rng, letters = random.Random(17), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in ("0123456789ABCDEF", "0123456789" + letters.lower(), letters + "234567", letters + letters.lower() + "0123456789+/"):
+        for size in (16, 24, 32, 64, 128, 256, 512, 1000, 2000):
+            keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(100 if size < 500 else 20)]
+            passed = sum(secret_scan.is_random(k, secret_scan.novelty("then authorization: bearer ", k, " is sent")) for k in keys)
+            assert passed >= 0.97 * len(keys), (alphabet, size)
+    for name in ("getUserAccountBalance2", "process.env.API_TOKEN_V2", "README_installation_guide_2024", "validateTokenExpiry2Hours", "my-super-long-password-123", "zzzzzzzzzzzzzzzzzzzz1"):
+        assert secret_scan.scan(f"the bearer {name} of it") == [], name
+
+
 def test_secret_tables(odd, nothing):
     assert secret_scan.secret_digests(odd).count() == odd.count() and secret_scan.find_secrets(nothing).count() == 0
     assert secret_scan.redact_documents(odd).columns == odd.columns and secret_scan.redact_documents(odd).count() == odd.count()
