@@ -8,6 +8,7 @@ key words and common word parts. Words and identifiers cost few bytes a characte
 be compressed below the entropy of its alphabet. A candidate is reported as `novel` if it mixes letters and
 digits, its novelty, marginal bytes a character, is at least NOVELTY of its own alphabet's entropy, and it isn't
 made of word parts: new identifiers cost as much as keys, but nearly all their letter pairs occur in the dictionary.
+Candidates have any length; only those that fixed shapes hold whole aren't measured, as they are reported already.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make what follows them sensitive.
 SENSITIVE = ("credential", "passphrase", "private_key", "privatekey", "access_key", "accesskey", "client_secret", "bearer", "authorization", "auth_token", "signing_key", "encryption_key", "pwd", "secret", "token", "password", "passwd", "apikey", "api_key", "api-key")
-CANDIDATE = re.compile(r"""(?:%s)s?["'`]?[\x20\t]*(?::=|=>|[:=]|\x20)?[\x20\t]*["'`]?([A-Za-z0-9+/_=~.!@#%%^&*-]{16,512})""" % "|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
+CANDIDATE = re.compile(r"""(?:%s)s?["'`]?[\x20\t]*(?::=|=>|[:=]|\x20)?[\x20\t]*["'`]?([A-Za-z0-9+/_=~.!@#%%^&*-]{16,})""" % "|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 #: Share of its alphabet's entropy from which a candidate's marginal compressed bytes count as random.
 NOVELTY, AROUND = 0.9, 96
 #: From so many letter pairs on, a candidate with over this share of known pairs is made of word parts.
@@ -93,6 +94,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, in the order of their starts, hold every character from start to end."""
+    for a, b, _ in spans:
+        if a > start or start >= end:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def scan(text: str | None) -> list[tuple[int, int, str, float]]:
     """All spans of a whole text: start, end (code points), kind, novelty; by start and then kind as listed."""
     if not text:
@@ -101,11 +111,10 @@ def scan(text: str | None) -> list[tuple[int, int, str, float]]:
     found = [(a, b, kind, novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])) for a, b, kind in spans]
     folded = text if text.islower() else text.lower()
     if any(w in folded for w in SENSITIVE):
-        taken = [(a, b) for a, b, _ in spans]
         for m in CANDIDATE.finditer(text):
             a, b = m.span(1)
             value = m[1]
-            if any(a < e and s < b for s, e in taken) or not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
+            if covered(a, b, spans) or not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
                 continue
             n = novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND])
             if is_random(value, n):

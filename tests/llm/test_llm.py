@@ -92,6 +92,21 @@ def test_random_keys_of_every_alphabet_and_length_are_random():
         assert secret_scan.scan(f"the bearer {name} of it") == [], name
 
 
+def test_long_and_partly_fixed_candidates_are_masked_whole():
+    rng = random.Random(23)
+    draw = lambda n: "".join(rng.choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789", k=n))
+    for size in (600, 2000, 20000):
+        assert secret_scan.redact(f"authorization: bearer {draw(size)} end") == "authorization: bearer [SECRET] end"
+    assert secret_scan.redact(f"password=Abcdefghijkl!{draw(30)} end") == "[SECRET] end"
+    key = f"{draw(20)}deadbeefdeadbeef{draw(20)}"
+    assert secret_scan.redact(f"authorization: bearer {key} end") == "authorization: bearer [SECRET] end"
+    assert [s[:3] for s in secret_scan.scan(f"bearer {key} end")] == [(7, 63, "novel"), (27, 43, "hex")]
+    value = draw(40)  # held whole by a fixed shape: reported once
+    assert [s[2] for s in secret_scan.scan(f"password={value} end")] == ["assign"]
+    jwt = f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.{draw(700)}.{draw(43)}"
+    assert secret_scan.redact(f"authorization: bearer {jwt}\nnext") == "authorization: bearer [SECRET]\nnext"
+
+
 def test_secret_tables(odd, nothing):
     assert secret_scan.secret_digests(odd).count() == odd.count() and secret_scan.find_secrets(nothing).count() == 0
     assert secret_scan.redact_documents(odd).columns == odd.columns and secret_scan.redact_documents(odd).count() == odd.count()
