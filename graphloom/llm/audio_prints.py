@@ -8,8 +8,8 @@ at the offset with most votes, the share of differing bits over the whole overla
 
 A recording matches a query if at least MIN_VOTES integers are equal at the best offset and at most MAX_ERROR of
 the overlap's bits differ. The search is complete: every query meets every distinct fingerprint, in blocks of
-bounded size, and no frequent integer is left out. Recordings with equal fingerprints are one entry with its
-smallest ids; a query's answer is its TOP best matches.
+bounded size, and no frequent integer is left out. Recordings with equal fingerprints are one class, named by its
+smallest id, and so are clips; every match counts, as a row between two classes, so groups of copies don't multiply.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import kept, prepare
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 128, 12
 LOW_HZ, HIGH_HZ = 60.0, 1900.0
-MIN_VOTES, MAX_ERROR, TOP = 4, 0.25, 5
+MIN_VOTES, MAX_ERROR = 4, 0.25
+#: A clip has all its matches, whatever their number.
+TOP = None
 ENTRY_BLOCK, QUERY_BLOCK = 20_000, 1000
 
 
@@ -145,67 +147,92 @@ def fingerprints(media: DataFrame, id_col: str = "media_id", audio_col: str = "a
     return media.select(media[id_col].cast("long").alias("media_id"), media[audio_col].cast("binary").alias("audio")).mapInArrow(run, "media_id long, codes array<long>, fp_sha256 string")
 
 
-def _align_block(top: int):
-    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(entries) and len(queries):
-            prints = [np.asarray(c, np.uint32) for c in entries["codes"]]
-            sizes = np.array([len(p) for p in prints])
-            values, owner, frame = np.concatenate(prints), np.repeat(np.arange(len(prints)), sizes), np.concatenate([np.arange(s) for s in sizes])
-            order = np.argsort(values, kind="stable")
-            values, owner, frame = values[order], owner[order], frame[order]
-            longest = int(sizes.max()) + 1
-            for name, codes in zip(queries["fp_sha256"], queries["codes"], strict=True):
-                q = np.asarray(codes, np.uint32)
-                starts, ends = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
-                n = ends - starts
-                if not n.sum():
-                    continue
-                at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-                shift = frame[at] - np.repeat(np.arange(len(q)), n)
-                width = longest + len(q)
-                keys, votes = np.unique(owner[at] * width + shift + len(q), return_counts=True)
-                rec = keys // width
-                # an entry whose best offset has too few votes is no match
-                for e in np.unique(rec[votes >= MIN_VOTES]).tolist():
-                    offset, v, error = align(q, prints[e])
-                    if error <= MAX_ERROR:
-                        out += [(name, int(i), offset, v, error) for i in entries["ids"][e]]
-        pdf = pd.DataFrame(out, columns=["fp_sha256", "match_id", "offset", "votes", "error"])
-        pdf = pdf.astype({"fp_sha256": str, "match_id": "int64", "offset": "int32", "votes": "int32", "error": "float64"})
-        return pdf.sort_values(["fp_sha256", "error", "match_id"]).groupby("fp_sha256").head(top)
-
-    return run
-
-
-def match_recordings(prints: DataFrame, clips: DataFrame, top: int = TOP) -> DataFrame:
+def _align_block(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    if len(entries) and len(queries):
+        prints = [np.asarray(c, np.uint32) for c in entries["codes"]]
+        sizes = np.array([len(p) for p in prints])
+        values, owner, frame = np.concatenate(prints), np.repeat(np.arange(len(prints)), sizes), np.concatenate([np.arange(s) for s in sizes])
+        order = np.argsort(values, kind="stable")
+        values, owner, frame = values[order], owner[order], frame[order]
+        longest, names = int(sizes.max()) + 1, entries["class_id"].tolist()
+        for name, codes in zip(queries["clip_class"], queries["codes"], strict=True):
+            q = np.asarray(codes, np.uint32)
+            starts, ends = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
+            n = ends - starts
+            if not n.sum():
+                continue
+            at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shift = frame[at] - np.repeat(np.arange(len(q)), n)
+            width = longest + len(q)
+            keys, votes = np.unique(owner[at] * width + shift + len(q), return_counts=True)
+            rec = keys // width
+            # an entry whose best offset has too few votes is no match
+            for e in np.unique(rec[votes >= MIN_VOTES]).tolist():
+                offset, v, error = align(q, prints[e])
+                if error <= MAX_ERROR:
+                    out.append((name, names[e], offset, v, error))
+    pdf = pd.DataFrame(out, columns=["clip_class", "class_id", "offset", "votes", "error"])
+    return pdf.astype({"clip_class": "int64", "class_id": "int64", "offset": "int32", "votes": "int32", "error": "float64"})
+
+
+def _classes(prints: DataFrame, name: str) -> DataFrame:
+    """fp_sha256, the smallest id with it and the codes, of the rows with an id and codes."""
+    some = prints.filter((F.size("codes") > 0) & F.col("media_id").isNotNull())
+    return kept(some.groupBy("fp_sha256").agg(F.min("media_id").alias(name), F.min("codes").alias("codes")))
+
+
+def _aligned(prints: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The recordings, one clip an id, the recordings' classes, and every match between classes; all computed once."""
+    prepare(prints.sparkSession)
+    prints = kept(prints.select("media_id", "codes", "fp_sha256"))
+    asked = clips.filter(F.col("media_id").isNotNull()).groupBy("media_id").agg(F.min(F.struct("fp_sha256", "codes")).alias("c"))
+    asked = kept(asked.select("media_id", "c.fp_sha256", "c.codes"))
+    entries, queries = _classes(prints, "class_id"), _classes(asked, "clip_class")
+    n_entry, n_query = max(1, -(-entries.count() // ENTRY_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    left = entries.select("class_id", "codes", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_entry)).alias("eb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
+    right = queries.select("clip_class", "codes", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_entry - 1).cast("long"))).alias("eb"))
+    found = left.groupBy("eb", "qb").cogroup(right.groupBy("eb", "qb")).applyInPandas(_align_block, "clip_class long, class_id long, offset int, votes int, error double")
+    return prints, asked.join(queries.select("fp_sha256", "clip_class"), "fp_sha256", "left"), entries.select("fp_sha256", "class_id"), kept(found)
+
+
+def match_classes(prints: DataFrame, clips: DataFrame) -> DataFrame:
+    """Every match, and who is in which class, as rows of three kinds; nothing is ranked or left out.
+
+    `recording` rows, one per row of prints, and `clip` rows, one per id of clips: media_id, n_codes, fp_sha256
+    and its class, class_id for recordings and clip_class for clips (the smallest id with the same fingerprint;
+    null without an id or codes). `match` rows: clip_class, class_id, offset, votes and bit_error_rate; each clip of
+    the one class matches each recording of the other. Equal recordings are listed each; of several clips of an
+    id the one with the smallest digest counts.
+    """
+    prints, asked, classes, found = _aligned(prints, clips)
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = [none("int").alias("offset"), none("int").alias("votes"), none("double").alias("bit_error_rate")]
+    n = F.size("codes").cast("long").alias("n_codes")
+    known = F.when(F.col("media_id").isNotNull(), F.col("class_id")).alias("class_id")
+    recordings = prints.join(classes, "fp_sha256", "left").select(F.lit("recording").alias("kind"), "media_id", n, "fp_sha256", known, none("long").alias("clip_class"), *empty)
+    sought = asked.select(F.lit("clip").alias("kind"), "media_id", n, "fp_sha256", none("long").alias("class_id"), "clip_class", *empty)
+    matches = found.select(F.lit("match").alias("kind"), none("long").alias("media_id"), none("long").alias("n_codes"), none("string").alias("fp_sha256"), "class_id", "clip_class", "offset", "votes", F.round("error", 6).alias("bit_error_rate"))
+    return recordings.unionByName(sought).unionByName(matches)
+
+
+def match_recordings(prints: DataFrame, clips: DataFrame) -> DataFrame:
     """One row per recording: media_id, n_codes, fp_sha256, class_id (smallest id with the same fingerprint), matches.
 
     prints are the recordings searched, clips the fingerprints to search for, named by the media_id of their row.
-    matches, null for rows without a clip, are the `top` best of all recordings by bit error rate and id:
+    matches, null for rows without a clip, are all recordings that match, by bit error rate and id:
     array<struct<media_id, offset, votes, bit_error_rate>>. Recordings and clips without codes match nothing.
     Rows with a null id are listed without a class; equal rows are listed each; of several clips of an id the
-    one with the smallest digest counts.
+    one with the smallest digest counts. The arrays name every copy: for tables with large groups of copies
+    match_classes has the same matches in fewer rows.
     """
-    prepare(prints.sparkSession)
-    prints = kept(prints.select("media_id", "codes", "fp_sha256"))
-    some = prints.filter((F.size("codes") > 0) & F.col("media_id").isNotNull())
-    first = Window.partitionBy("fp_sha256").orderBy("media_id")
-    ids = some.select("fp_sha256", "media_id").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top)
-    classes = kept(ids.groupBy("fp_sha256").agg(F.sort_array(F.collect_list("media_id")).alias("ids")))  # `top` ids a class at most
-    lowest = classes.select("fp_sha256", F.element_at("ids", 1).alias("media_id"), "ids")
-    entries = kept(some.join(lowest, ["fp_sha256", "media_id"]).select("fp_sha256", "codes", "ids").dropDuplicates(["fp_sha256"]))
-    asked = kept(clips.filter(F.col("media_id").isNotNull()).groupBy("media_id").agg(F.min(F.struct("fp_sha256", "codes")).alias("c")).select("media_id", "c.fp_sha256", "c.codes"))
-    queries = kept(asked.select("fp_sha256", "codes").filter(F.size("codes") > 0).distinct())
-    n_entry, n_query = max(1, -(-entries.count() // ENTRY_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    left = entries.select("*", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_entry)).alias("eb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
-    right = queries.select("*", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_entry - 1).cast("long"))).alias("eb"))
-    found = left.groupBy("eb", "qb").cogroup(right.groupBy("eb", "qb")).applyInPandas(_align_block(top), "fp_sha256 string, match_id long, offset int, votes int, error double")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("fp_sha256").orderBy("error", "match_id"))).filter(F.col("n") <= top)
-    match = F.struct(F.col("match_id").alias("media_id"), "offset", "votes", F.round("error", 6).alias("bit_error_rate"))
-    lists = best.groupBy("fp_sha256").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", match.alias("m")))), lambda x: x["m"]).alias("matches"))
-    answers = asked.join(lists, "fp_sha256", "left").select("media_id", F.coalesce("matches", F.array().cast("array<struct<media_id: bigint, offset: int, votes: int, bit_error_rate: double>>")).alias("matches"))
-    rows = prints.join(classes.select("fp_sha256", F.element_at("ids", 1).alias("class_id")), "fp_sha256", "left").join(answers, "media_id", "left")
+    prints, asked, classes, found = _aligned(prints, clips)
+    members = prints.filter(F.col("media_id").isNotNull()).join(classes, "fp_sha256").select("class_id", F.col("media_id").alias("match_id")).distinct()
+    match = F.struct("error", F.col("match_id").alias("media_id"), "offset", "votes")
+    lists = found.join(members, "class_id").groupBy("clip_class").agg(F.sort_array(F.collect_list(match)).alias("m"))
+    matches = F.transform("m", lambda x: F.struct(x["media_id"].alias("media_id"), x["offset"].alias("offset"), x["votes"].alias("votes"), F.round(x["error"], 6).alias("bit_error_rate")))
+    answers = asked.join(lists, "clip_class", "left").select("media_id", F.coalesce(matches, F.array().cast("array<struct<media_id: bigint, offset: int, votes: int, bit_error_rate: double>>")).alias("matches"))
+    rows = prints.join(classes, "fp_sha256", "left").join(answers, "media_id", "left")
     return rows.select("media_id", F.size("codes").cast("long").alias("n_codes"), "fp_sha256", F.when(F.col("media_id").isNotNull(), F.col("class_id")).alias("class_id"), "matches")
 
 

@@ -58,7 +58,7 @@ def op8_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     media = audio_prints.render_tones(vectors)
     clips = audio_prints.render_tones(vectors.filter(F.col("vec_id") % 20 == 0), skip=10 * audio_prints.HOP, noise=0.01)
-    return audio_prints.match_recordings(audio_prints.fingerprints(media), audio_prints.fingerprints(clips))
+    return audio_prints.match_classes(audio_prints.fingerprints(media), audio_prints.fingerprints(clips))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

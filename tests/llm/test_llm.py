@@ -238,6 +238,36 @@ def test_audio_matches_equal_brute_force(spark):
         assert got[q]["matches"][0]["media_id"] == q and got[q]["matches"][0]["offset"] == 10
 
 
+def test_audio_matches_have_no_cap(spark):
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(0, 0.15, 64).tolist() for _ in range(12)]
+    rows = [(i, vectors[0]) for i in range(9)] + [(20 + i, v) for i, v in enumerate(vectors[1:])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    prints = audio_prints.fingerprints(audio_prints.render_tones(df))
+    near = audio_prints.fingerprints(audio_prints.render_tones(df.filter("vec_id < 9"), skip=audio_prints.HOP, noise=0.01))
+    prints = prints.unionByName(near.withColumn("media_id", F.col("media_id") + 100))  # nine aligned copies, few of them equal
+    clips = audio_prints.fingerprints(audio_prints.render_tones(df.filter("vec_id in (0, 1, 25)"), skip=10 * audio_prints.HOP, noise=0.01))
+    known = {r["media_id"]: np.array(r["codes"], np.uint32) for r in prints.collect()}
+    asked = {r["media_id"]: np.array(r["codes"], np.uint32) for r in clips.collect()}
+    want = {}
+    for q, codes in asked.items():
+        aligned = {i: audio_prints.align(codes, other) for i, other in known.items()}
+        want[q] = {(i, a[0], a[1]) for i, a in aligned.items() if a and a[1] >= audio_prints.MIN_VOTES and a[2] <= audio_prints.MAX_ERROR}
+    assert len(want[0]) >= 18
+    out = audio_prints.match_classes(prints, clips).collect()
+    member, clip = {}, {r["media_id"]: r["clip_class"] for r in out if r["kind"] == "clip"}
+    for r in out:
+        if r["kind"] == "recording":
+            member.setdefault(r["class_id"], []).append(r["media_id"])
+    assert sorted(i for ids in member.values() for i in ids) == sorted(known) and set(range(9)) <= set(member[0])
+    pairs = [r for r in out if r["kind"] == "match"]
+    assert len(pairs) == len({(r["clip_class"], r["class_id"]) for r in pairs})
+    for q in asked:
+        assert {(i, r["offset"], r["votes"]) for r in pairs if r["clip_class"] == clip[q] for i in member[r["class_id"]]} == want[q]
+    full = {r["media_id"]: r["matches"] for r in audio_prints.match_recordings(prints, clips).collect()}
+    assert all({(m["media_id"], m["offset"], m["votes"]) for m in full[q]} == want[q] for q in asked)
+
+
 def test_mixture_meets_targets(spark, odd, nothing):
     out = mixing.mixture(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), budget=0.5)
     total, expected = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("prob"))).first()
