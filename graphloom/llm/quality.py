@@ -1,12 +1,13 @@
 """A document quality classifier on random-indexing word vectors.
 
 Words (letter runs with their case shape, digit runs, symbol runs) are hashed to BUCKETS. Every bucket has a
-fixed sparse ternary index vector; a word's vector is the sum of its neighbours' index vectors, which adds up
-over partitions, so executors make partial tables and the driver adds a fixed number of them. A document is
+fixed sparse ternary index vector; a word's vector is the sum of its neighbours' index vectors over all documents,
+labelled or not. The sums add up over partitions: each task makes a partial table of fixed size, and a shuffle adds
+them by slices of buckets, so the driver gets one table whatever the number of tasks. A document is
 pooled to the frequency-damped mean and spread of its words' vectors and its log length. A two-layer network,
 trained in numpy, scores the pooled vector, and a temperature fitted on rows that it wasn't trained on turns
-its output into calibrated probabilities. The whole fit uses at most SAMPLE labelled rows, first by a hash of
-the id; scoring reads every whole text.
+its output into calibrated probabilities. The network is fitted on at most SAMPLE labelled rows, first by a hash of
+the id; word vectors and scoring read every whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from graphloom.llm.common import Memo, kept, prepare
 
 BUCKETS, DIM, NONZERO, WINDOW, DAMP = 1 << 14, 48, 4, 2, 1e-3
 SAMPLE, PARTS, HIDDEN, EPOCHS = 6000, 8, 24, 60
+#: The partial tables are added in so many slices of buckets.
+SLICES = 16
+#: Words counted at once.
+BLOCK = 100_000
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -57,16 +62,59 @@ def index_vectors(seed: int = 11) -> np.ndarray:
 
 
 def context_sums(texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Summed index vectors of the neighbours, and the count, of each bucket."""
-    index, sums, counts = index_vectors(), np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, np.int64)
+    """Summed index vectors of the neighbours, and the count, of each bucket. Texts are counted in blocks, BUCKETS between them."""
+    index, sums, counts = index_vectors(), np.zeros((BUCKETS + 1) * DIM), np.zeros(BUCKETS + 1, np.int64)
+    where = np.vstack([np.nonzero(index)[1].reshape(BUCKETS, NONZERO), np.zeros((1, NONZERO), np.int64)])
+    sign = np.vstack([np.take_along_axis(index, where[:-1], 1), np.zeros((1, NONZERO))]).astype(np.float64)
+    gap, block, held = np.full(WINDOW, BUCKETS, np.int32), [], 0
+
+    def add() -> None:
+        ids = np.concatenate([gap, *block]).astype(np.int64)
+        counts[:] += np.bincount(ids, minlength=BUCKETS + 1)
+        for k in range(1, WINDOW + 1):
+            at, near = np.concatenate([ids[:-k], ids[k:]]) * DIM, np.concatenate([ids[k:], ids[:-k]])
+            for n in range(NONZERO):
+                sums[:] += np.bincount(at + where[near, n], sign[near, n], len(sums))
+        block.clear()
+
     for text in texts:
         ids = word_buckets(text)
-        counts += np.bincount(ids, minlength=BUCKETS)
-        for k in range(1, WINDOW + 1):
-            if len(ids) > k:
-                np.add.at(sums, ids[:-k], index[ids[k:]])
-                np.add.at(sums, ids[k:], index[ids[:-k]])
-    return sums, counts
+        block += [ids, gap]
+        held += len(ids) + WINDOW
+        if held >= BLOCK:
+            add()
+            held = 0
+    add()
+    return sums.reshape(-1, DIM)[:-1], counts[:-1]
+
+
+def corpus_sums(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """context_sums of the one string column over all rows."""
+    width = BUCKETS // SLICES
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, c = context_sums(t.as_py() for batch in batches for t in batch.column(0))
+        for k in range(SLICES):
+            at = slice(k * width, (k + 1) * width)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s[at].tobytes()], pa.binary()), pa.array([c[at].tobytes()], pa.binary())], ["slice", "sums", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, s, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                into = held.setdefault(k, [np.zeros((width, DIM)), np.zeros(width, np.int64)])
+                into[0] += np.frombuffer(s, np.float64).reshape(width, DIM)
+                into[1] += np.frombuffer(c, np.int64)
+        for k, (s, c) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["slice", "sums", "counts"])
+
+    kind = "slice int, sums binary, counts binary"
+    total, counts = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64)
+    for row in texts.mapInArrow(part, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect():
+        at = slice(row["slice"] * width, (row["slice"] + 1) * width)
+        total[at] += np.frombuffer(row["sums"], np.float64).reshape(width, DIM)
+        counts[at] += np.frombuffer(row["counts"], np.int64)
+    return total, counts
 
 
 def word_vectors(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -139,7 +187,7 @@ def fit(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fits on at most `sample` labelled documents; a document labelled more than once counts with its lowest label."""
+    """Word vectors of all documents, and a network fitted on at most `sample` labelled ones; a document labelled more than once counts with its lowest label."""
     prepare(docs.sparkSession)
     marked = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     if learn is not None:
@@ -149,14 +197,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = Non
     # bounded: `sample` ids are broadcast, and as many texts kept in PARTS partitions
     rows = kept(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(PARTS))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, c = context_sums(t.as_py() for batch in batches for t in batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["sums", "counts"])
-
-    total, counts = np.zeros((BUCKETS, DIM), np.float64), np.zeros(BUCKETS, np.int64)
-    for row in rows.select("text").mapInArrow(sums, "sums binary, counts binary").toLocalIterator():
-        total += np.frombuffer(row["sums"], np.float32).reshape(BUCKETS, DIM)
-        counts += np.frombuffer(row["counts"], np.int64)
+    total, counts = corpus_sums(texts.select("text"))
     vectors = word_vectors(total, counts)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

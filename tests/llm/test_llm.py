@@ -136,6 +136,23 @@ def test_quality_separates_held_out_rows(spark, odd, nothing):
     assert quality.score_quality(nothing, empty).count() == 0
 
 
+def test_word_vectors_count_all_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30))) for i in range(20)]
+    rows += [(100 + i, "unlabelled words " * 5 + f"only{i} here") for i in range(30)] + [(200, None), (None, "gamma rays")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = docs.filter("doc_id < 20").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.train_quality(docs, labels, sample=10)
+    want = quality.word_vectors(*quality.context_sums(t for _, t in rows))
+    assert np.allclose(model.vectors, want, rtol=1e-5, atol=1e-7)
+    index, plain = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
+    for ids in (quality.word_buckets(t).tolist() for _, t in rows):
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                plain[a] += index[ids[j]] * (i != j)
+    assert np.array_equal(plain, quality.context_sums(t for _, t in rows)[0])
+
+
 def brute_components(rows, percent, n):
     sets = [(i, set(near_dedup.shingles(t, n).tolist())) for i, t in rows]
     label = {i: i for i, _ in sets}
