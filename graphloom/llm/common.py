@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,10 +36,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset and Spark runs in one process (tests), a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_graphloom_dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoints-")
+        atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
         spark.sparkContext._graphloom_dir = at
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -48,6 +54,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """Computes df once into a Parquet table in the shared folder, and reads that: compressed, and lineage is cut."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables whose successors exist."""
+    for t in tables:
+        remove(t.sparkSession, t._graphloom_path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage through reliable shared storage."""
     shared_dir(df.sparkSession)

@@ -3,17 +3,22 @@
 1. Every text becomes a set of hashed word shingles; 2 collections of TABLES short bands of ROWS minhashes are
    taken from it. The key of table (i, j) joins band i of the first collection with band j of the second, so
    2 * TABLES * ROWS minhashes give TABLES**2 tables of 2 * ROWS rows each. At a similarity of 0.85 a pair
-   shares no key with probability 5e-7, at 0.8 with 2e-5.
+   shares no key with probability 5e-7, at 0.8 with 2e-5. Keys are never stored: two documents share one exactly
+   if they share a band of each collection, and bands are 2 * TABLES rows a document where keys were TABLES**2.
 2. Documents with equal sets form a class and only its smallest id goes on. A class whose bands are all alone
    in one of the collections can share no key and goes no further.
-3. Each key proposes its smallest id as centre. A document is held, on full sets, against two centres at
-   most, the one that most of its keys share and the smallest: a number of pairs linear in the documents, which
-   already merges most of a large group.
-4. Keys whose members aren't all merged then are searched completely: members are dealt into tiles of about
-   TILE documents, each pair of tiles that meet in such a key is one task's group, and in it all pairs
-   that share a key, aren't merged yet and can reach the similarity by size and signature are confirmed on full
-   sets. A hot group spreads over many tile pairs; none is ever collected whole.
-5. The links' components are found by min-label steps with pointer jumping, checkpointed each step.
+3. Each band proposes its smallest id as centre. A document is held, on full sets, against two centres at
+   most of those that it shares a key with, the one of most bands and the smallest: a number of pairs linear in
+   the documents, which already merges most of a large group.
+4. What is left is searched completely. A band is open if its members aren't all merged, and a document if it has an
+   open band in each collection. Open documents are dealt into tiles of at most TILE_BYTES by their most frequent open
+   band, those of a large merged group apart from the rest. Tiles that meet in an open band are one task's group,
+   unless both are of one merged group; in it all pairs that share a key, aren't merged yet and can reach the
+   similarity by size and signature are confirmed on full sets. A hot group spreads over many tile pairs; none is
+   ever collected whole, no pairs are written out, and a merged group is sent only once for each tile of the rest.
+5. The links' components are found by min-label steps with pointer jumping, stored each step.
+
+Each intermediate table is deleted once its successors exist.
 """
 
 from __future__ import annotations
@@ -22,16 +27,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Memo, kept, prepare
+from graphloom.llm.common import Memo, discard, prepare, stored
 
-ROWS, TABLES, TILE = 3, 16, 256
-BROADCAST_IDS = 500_000
+ROWS, TABLES = 3, 16
+#: Bounds of a tile: bytes of sets and sketches, and documents; a document takes so many bytes beside its set.
+TILE_BYTES, TILE_DOCS, SKETCH_BYTES = 8 << 20, 4096, 400
+#: Broadcast up to so many ids, and sketches of some 250 bytes.
+BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 100_000
 #: Signature agreement, of 2 * ROWS * TABLES minhashes, under which a pair at the similarity is too unlikely (5 deviations).
 SLACK = 5.0
 _RNG = np.random.default_rng(20)
@@ -77,6 +84,10 @@ def bands(mins: np.ndarray) -> np.ndarray:
     return h
 
 
+def digest_of(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the set, band hashes, one byte of each minhash."""
 
@@ -87,7 +98,7 @@ def sketch(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_co
                 found = shingles(t.as_py(), words_each)
                 mins = minhashes(found)
                 n.append(len(found))
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                digest.append(digest_of(found))
                 band.append(bands(mins).view(np.int64) if len(found) else np.zeros(0, np.int64))
                 sign.append((mins >> np.uint64(40)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -100,28 +111,35 @@ def sketch(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_co
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id that each end of the undirected edges (x, y) reaches."""
-    both = kept(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = kept(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")))
+    """id, label: the smallest id that each end of the undirected edges (x, y) reaches. The result is a stored table."""
+    both = stored(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(F.min("l").alias("l"))
-        step = labels.join(near, labels.id == near.x).select("id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = step.select(F.col("id").alias("at"), F.col("label").alias("next"))
-        moved = kept(step.join(jump, step.label == jump.at, "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        labels = moved.select("id", "label")
+        step = stored(labels.join(near, labels.id == near.x).select("id", F.col("label").alias("old"), F.least("label", "l").alias("label")), "step")
+        # only labels that have moved on themselves are looked up
+        heads = step.filter("label < id").select(F.col("id").alias("at"), F.col("label").alias("next"))
+        jump = step.select(F.col("label").alias("at")).distinct().join(heads, "at")
+        moved = stored(step.join(jump, step.label == jump.at, "left").select("id", "old", F.coalesce("next", "label").alias("label")), "labels")
+        discard(labels, step)
+        labels = moved
         if moved.filter("old <> label").isEmpty():
+            discard(both)
             return labels
 
 
 def _confirm(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, c) whose full sets are similar."""
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("set_x")), "x")
-    right = sets.select(F.col("id").alias("c"), F.col("set").alias("set_c"))
+def _star_links(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of a set and one of its centres whose full sets are similar."""
+    left = sets.select(F.col("id").alias("x"), F.col("set").alias("set_x"), F.explode("centres").alias("c"))
+    wanted = sets.select(F.explode("centres").alias("c")).distinct()
+    right = sets.select(F.col("id").alias("c"), F.col("set").alias("set_c")).join(wanted, "c", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,119 +149,196 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "c").select("x", F.col("c").alias("y"), "set_x", "set_c").mapInArrow(run, "x long, y long")
 
 
+def _tile_links(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, band: np.ndarray, sign: np.ndarray, tile: np.ndarray, whole: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that merge labels, confirmed on full sets, between the documents of two tiles or within one."""
+    _, dense = np.unique(np.concatenate(whole), return_inverse=True)
+    dense = np.split(dense, np.cumsum([len(s) for s in whole])[:-1])
+    flag = np.zeros(max((int(d.max()) for d in dense if len(d)), default=0) + 1, bool)
+    p = percent / 100
+    least = p - SLACK * np.sqrt(p * (1 - p) / sign.shape[1])
+    parent = {v: v for v in labels.tolist()}
+
+    def root(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out, one_tile = [], bool((tile == tile[0]).all())
+    for k in range(len(ids) - 1):
+        rest = slice(k + 1, None)
+        ok = (labels[rest] != labels[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+        if not one_tile:
+            ok &= tile[rest] != tile[k]
+        others = np.nonzero(ok)[0] + k + 1
+        if not len(others):
+            continue
+        same = (band[others] == band[k]) & (band[k] != 0)  # 0: a band that is alone
+        others = others[same[:, :TABLES].any(1) & same[:, TABLES:].any(1)]
+        others = others[(sign[others] == sign[k]).mean(1) >= least]
+        if not len(others):
+            continue
+        flag[dense[k]] = True
+        for j in others.tolist():
+            a, b = root(labels[k]), root(labels[j])
+            if a != b:
+                both = int(np.count_nonzero(flag[dense[j]]))
+                if 100 * both >= percent * (n[k] + n[j] - both):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(ids[k]), int(ids[j])))
+        flag[dense[k]] = False
+    return out
+
+
 def _search_tiles(percent: int):
-    """A function over one pair of tiles: links that merge labels, confirmed on full sets."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        ids, labels, n = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["n_shingles"].to_numpy()
-        band = np.array([np.asarray(b, np.int64) for b in pdf["bands"]]).reshape(len(pdf), 2 * TABLES)
-        sign = np.array([np.frombuffer(s, np.uint8) for s in pdf["signature"]]).reshape(len(pdf), -1)
-        tile = pdf["tile"].to_numpy()
-        whole = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        _, dense = np.unique(np.concatenate(whole), return_inverse=True)
-        dense = np.split(dense, np.cumsum([len(s) for s in whole])[:-1])
-        flag = np.zeros(max((int(d.max()) for d in dense if len(d)), default=0) + 1, bool)
-        p = percent / 100
-        least = p - SLACK * np.sqrt(p * (1 - p) / sign.shape[1])
-        parent = {v: v for v in labels.tolist()}
-
-        def root(v):
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        out, one_tile = [], len(set(tile.tolist())) == 1
-        for k in range(len(pdf) - 1):
-            rest = slice(k + 1, None)
-            ok = (labels[rest] != labels[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-            if not one_tile:
-                ok &= tile[rest] != tile[k]
-            others = np.nonzero(ok)[0] + k + 1
-            if not len(others):
-                continue
-            same = band[others] == band[k]
-            others = others[same[:, :TABLES].any(1) & same[:, TABLES:].any(1) & ((sign[others] == sign[k]).mean(1) >= least)]
-            if not len(others):
+    """A function over rows sorted by tile pair; one pair's rows are held at a time."""
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).sort_by("id")
+        wide = lambda name, kind: np.array([np.frombuffer(x, kind) for x in t[name].to_pylist()])
+        ids, n, sign = t["id"].to_numpy(), t["n_shingles"].to_numpy(), wide("signature", np.uint8)
+        # repeated rows of one id and text stand beside each other or count twice, which finds the same links
+        found = _tile_links(ids, t["label"].to_numpy(), n, np.array(t["bands"].to_pylist(), np.int64), sign, t["tile"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()], percent)
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            flag[dense[k]] = True
-            for j in others.tolist():
-                a, b = root(labels[k]), root(labels[j])
-                if a != b:
-                    both = int(np.count_nonzero(flag[dense[j]]))
-                    if 100 * both >= percent * (n[k] + n[j] - both):
-                        parent[max(a, b)] = min(a, b)
-                        out.append((ids[k], ids[j]))
-            flag[dense[k]] = False
-        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+            pair = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            cuts = [0, *(np.nonzero((pair[1:] != pair[:-1]).any(1))[0] + 1).tolist(), len(pair)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if at != tuple(pair[a]) and held:
+                    yield links(held)
+                    held = []
+                at = tuple(pair[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
 
     return run
 
 
+def _shared_bands(rows: DataFrame, first: int) -> DataFrame:
+    """id, digest and own: band, hash and smallest id of each of TABLES bands, from `first` on, that another id has too; rows without any are left out."""
+    spread = rows.select("id", "digest", F.posexplode(F.slice("bands", first + 1, TABLES)).alias("band", "hash"))
+    shared = stored(spread.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("hash", "low"), "shared")
+    own = spread.join(shared, "hash").select("id", "digest", F.struct((F.col("band") + first).alias("band"), "hash", "low").alias("b"))
+    got = stored(own.groupBy("id", "digest").agg(F.collect_set("b").alias(f"own_{first}")), "own")  # TABLES values at most
+    discard(shared)
+    return got
+
+
+def _open_tiles(active: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """t1, t2, tile and all that the search needs of each document of the tile pairs that meet in an open band; and stored tables behind it."""
+    hashes = F.concat(F.transform("own_0", lambda b: F.struct(b["band"], b["hash"])), F.transform(f"own_{TABLES}", lambda b: F.struct(b["band"], b["hash"])))
+    named = active.join(labels.select("id", "label"), "id", "left").select("id", "digest", "n_shingles", F.coalesce("label", "id").alias("label"), hashes.alias("hashes"))
+    spread = named.select("id", "digest", "label", "n_shingles", F.inline("hashes"))
+    mixed = stored(spread.groupBy("hash").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("hash", "n"), "mixed")
+    own = spread.join(mixed, "hash").groupBy("id", "digest").agg(
+        F.first("label").alias("label"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.max(F.when(F.col("band") < TABLES, F.struct("n", "hash")))["hash"].alias("cluster"),
+        F.max(F.col("band") >= TABLES).alias("both"),
+        F.map_from_entries(F.collect_set(F.struct("band", "hash"))).alias("of"),  # 2 * TABLES values at most
+    )
+    weight = (F.col("n_shingles") * 8 + SKETCH_BYTES).alias("bytes")
+    left = stored(own.filter(F.col("both") & F.col("cluster").isNotNull()).select("id", "digest", "label", "cluster", weight, F.transform(F.sequence(F.lit(0), F.lit(2 * TABLES - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("long"))).alias("bands")), "open")
+    # a merged group of a quarter of a tile or more has tiles of its own; the rest of a cluster shares tiles
+    parts = F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.ceil(F.count(F.lit(1)) / TILE_DOCS)).alias("parts")
+    large = (F.sum("bytes") >= TILE_BYTES / 4) | (F.count(F.lit(1)) >= TILE_DOCS / 4)
+    groups = left.groupBy("cluster", "label").agg(parts, large.alias("large"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups, "groups")
+    rest = groups.filter("not large").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.ceil(F.sum("n") / TILE_DOCS)).alias("shares"))
+    dealt = left.drop("bytes").join(groups.filter("large").select("cluster", "label", "parts"), ["cluster", "label"], "left").join(rest, "cluster", "left")
+    pure = F.when(F.col("parts").isNotNull(), F.col("label"))
+    tile = F.xxhash64("cluster", F.coalesce(pure, F.lit(-1)), F.pmod(F.xxhash64("id"), F.coalesce("parts", "shares")))
+    tiled = stored(dealt.select("id", "digest", "label", "bands", tile.alias("tile"), pure.alias("pure")), "tiled")
+    discard(left, groups)
+    meet = tiled.select("tile", "pure", F.explode(F.slice("bands", 1, TABLES)).alias("hash")).filter("hash <> 0").groupBy("hash").agg(F.collect_set(F.struct("tile", "pure")).alias("tiles"))
+    apart = lambda s, t: F.when(s["tile"] == t["tile"], s["pure"].isNull()).otherwise((s["tile"] < t["tile"]) & ~F.coalesce(s["pure"] == t["pure"], F.lit(False)))
+    pairs = meet.select(F.explode("tiles").alias("s"), "tiles").select("s", F.explode("tiles").alias("t")).filter(apart(F.col("s"), F.col("t")))
+    pairs = stored(pairs.select(F.col("s.tile").alias("t1"), F.col("t.tile").alias("t2")).distinct(), "pairs")
+    asked = pairs.select("t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))
+    about = sets.select("id", "digest", "n_shingles", "signature", "set")
+    members = tiled.drop("pure").join(about, ["id", "digest"])
+    rows = asked.join(members, "tile").select("t1", "t2", "tile", "id", "label", "n_shingles", "bands", "signature", "set")
+    return rows.repartition("t1", "t2").sortWithinPartitions("t1", "t2"), [mixed, tiled, pairs]
+
+
 def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reached over links, itself included), kept.
 
     Two documents are linked if 100 * |both| >= percent * |either| for their shingle sets. Null and empty texts
-    and texts without words have no shingles and no links. Rows that repeat an id count as one document in
-    links; a row with a null id isn't linked: its component is null and it is kept. Other columns are ignored;
-    an empty table gives an empty table.
+    and texts without words have no shingles and no links. Rows that repeat an id are one document: all its texts'
+    links count for it and all its rows have one component. A row with a null id isn't linked: its component is null
+    and it is kept. Other columns are ignored; an empty table gives an empty table.
     """
     prepare(docs.sparkSession)
-    sketches = kept(sketch(docs, words_each, id_col, text_col))
+    sketches = stored(sketch(docs, words_each, id_col, text_col), "sketches")
     rows = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = kept(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    firsts = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature")
+    classes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    firsts = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep), "left_semi")
+    firsts = stored(firsts.select(F.col("doc_id").alias("id"), "digest", "n_shingles", "bands", "signature"), "firsts")
 
     # bands that no other class has can't be part of a shared key
-    spread = firsts.select("id", F.posexplode("bands").alias("band", "hash"))
-    shared = spread.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("hash")
-    per_id = spread.join(shared, "hash", "left_semi").groupBy("id").agg(F.collect_set("band").alias("own"))  # 2 * TABLES values at most
-    sides = [F.filter("own", lambda b: b < TABLES), F.filter("own", lambda b: b >= TABLES)]
-    active = kept(firsts.join(per_id, "id").withColumns({"first": sides[0], "second": sides[1]}).filter((F.size("first") > 0) & (F.size("second") > 0)).drop("own"))
-
-    ids = active.select("id")
-    n_active = ids.count()
+    one = _shared_bands(firsts, 0)
+    halfway = firsts.join(one.select("id", "digest"), ["id", "digest"], "left_semi")
+    two = _shared_bands(halfway, TABLES)
+    lows = [F.transform(c, lambda b: b["low"]) for c in ("own_0", f"own_{TABLES}")]
+    shared = F.filter(F.array_intersect(*lows), lambda c: c != F.col("id"))
+    voted = F.transform("shared", lambda c: F.struct(F.size(F.filter("lows", lambda v: v == c)).alias("v"), (-c).alias("c")))
+    both = one.join(two, ["id", "digest"]).withColumns({"shared": shared, "lows": F.concat(*lows)})
+    centres = F.when(F.size("shared") > 0, F.array_distinct(F.array(-F.array_max(voted)["c"], F.array_min("shared")))).otherwise(F.array().cast("array<long>"))
+    own = stored(both.select("id", "digest", "own_0", f"own_{TABLES}", centres.alias("centres")), "active")
+    discard(one, two)
+    active = firsts.select("id", "digest", "n_shingles", "signature").join(own, ["id", "digest"])
+
+    few = active.select("id", F.col("digest").alias("d"), "n_shingles", "signature", "centres")
+    n_active = few.count()
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    wanted = texts.join(F.broadcast(ids) if n_active <= BROADCAST_IDS else ids, "id", "left_semi")
+    wanted = texts.join(F.broadcast(few) if n_active <= BROADCAST_SKETCHES else few, "id").select("id", "d", "n_shingles", "signature", "centres", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words_each).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+            found = [shingles(t.as_py(), words_each) for t in batch.column(5)]
+            own = pa.array([digest_of(f) == d.as_py() for f, d in zip(found, batch.column(1), strict=True)], pa.bool_())
+            columns = [*batch.columns[:5], pa.array([f.tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n_shingles", "signature", "centres", "set"]).filter(own)
         _WORDS.clear()
 
-    sets = kept(wanted.mapInArrow(full, "id long, set binary").filter(F.length("set") > 0))
-
-    keys = active.select("id", F.explode("first").alias("i"), "second", "bands").select("id", F.explode("second").alias("j"), "i", "bands")
-    keys = kept(keys.select("id", F.xxhash64(F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("key")))
-    many = kept(keys.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("high")).filter("c <> high").select("key", "c"))
-    near = kept(keys.join(many, "key"))
-    votes = near.groupBy("id", "c").agg(F.count(F.lit(1)).alias("v"))
-    centres = kept(votes.groupBy("id").agg(F.max_by("c", F.struct("v", -F.col("c"))).alias("most"), F.min("c").alias("low")))
-    pairs = centres.select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("most", "low"))).alias("c")).filter("x <> c")
-    links = kept(_star_links(pairs, sets, percent))
+    sets = stored(wanted.mapInArrow(full, "id long, digest binary, n_shingles long, signature binary, centres array<long>, set binary"), "sets")
+    links = stored(_star_links(sets, percent).union(_repeated_ids(rows, classes)), "links")
     labels = components(links)
+    search, behind = _open_tiles(active, labels, sets)
+    found = stored(search.mapInArrow(_search_tiles(percent), "x long, y long"), "links")
+    discard(sets, firsts, own, labels, *behind)
+    labels = components(links.union(found))
+    discard(links, found)
+
+    # classes of one row without links need no lookup
+    moved = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"), "n", "rep")
+    moved = stored(moved.filter("n > 1 or component < rep").select("digest", "component"), "moved")
+    out = sketches.select("doc_id", "n_shingles", "digest").join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    again = _ids_with_several_sets(sketches.filter(F.col("doc_id").isNotNull()))
+    if not again.isEmpty():
+        of_id = stored(out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c")), "repeated")
+        out = out.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _ids_with_several_sets(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
 
-    # what is still apart in a key is searched completely
-    own = kept(centres.select("id", F.col("low").alias("cluster")).join(labels, "id", "left").select("id", "cluster", F.coalesce("label", "id").alias("label")))
-    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    own = kept(own.join(sizes, "cluster").select("id", "label", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TILE))).alias("tile")))
-    met = near.select("id", "key").join(own, "id")
-    mixed = kept(met.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("tile").alias("tiles")).filter("a <> b").select("key", F.array_sort("tiles").alias("tiles")))
-    tile_pairs = mixed.select(F.explode("tiles").alias("t1"), "tiles").select("t1", F.explode("tiles").alias("t2")).filter("t1 <= t2").distinct()
-    members = met.join(mixed.select("key"), "key", "left_semi").select("id", "label", "tile").distinct()
-    members = members.join(active.select("id", "n_shingles", "bands", "signature"), "id").join(sets, "id")
-    tile_pairs = kept(tile_pairs)
-    asked = tile_pairs.select("t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))
-    found = asked.join(members, "tile").groupBy("t1", "t2").applyInPandas(_search_tiles(percent), "x long, y long")
-    links = links.union(found)
-    labels = components(links)
 
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    # an id given with several texts takes the smallest component of them
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def _repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of the texts that one id has."""
+    several = rows.join(_ids_with_several_sets(rows), "doc_id", "left_semi").select("doc_id", "digest")
+    reps = several.join(classes, "digest").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))  # the texts of one id
+    return reps.select(F.explode("reps").alias("x"), F.array_min("reps").alias("y")).filter("x <> y")
 
 
 def keep_one_each(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
@@ -251,9 +346,9 @@ def keep_one_each(docs: DataFrame, percent: int = 85, words_each: int = 3) -> Da
 
     Removed ids are joined back by a broadcast only while they are few; else both sides are dealt by id.
     """
-    gone = kept(link_components(docs, percent, words_each).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    gone = stored(link_components(docs, percent, words_each).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def oracle_sql(percent: int = 85) -> str:
