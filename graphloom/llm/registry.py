@@ -66,7 +66,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mixing.mixture(_table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_quality, op4_secret_scan, op5_hamming_search, op6_token_counts, op7_pseudo_likelihood, op8_audio_prints, op9_near_dedup, op10_mixing)}

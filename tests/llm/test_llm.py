@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from graphloom.llm import audio_prints, hamming_search, language_id, mixing, near_dedup, piece_codec, pseudo_likelihood, quality, registry, secret_scan, token_counts
+from graphloom.llm import audio_prints, hamming_search, language_id, near_dedup, piece_codec, pseudo_likelihood, quality, registry, secret_scan, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -285,18 +285,6 @@ def test_audio_matches_have_no_cap(spark):
     assert all({(m["media_id"], m["offset"], m["votes"]) for m in full[q]} == want[q] for q in asked)
 
 
-def test_mixture_meets_targets(spark, odd, nothing):
-    out = mixing.mixture(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), budget=0.5)
-    total, expected = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("prob"))).first()
-    assert abs(expected / total - 0.5) < 1e-3
-    assert out.filter("prob < 0 or prob > 1").isEmpty()
-    assert mixing.mixture(odd).count() == odd.count() and mixing.mixture(nothing).count() == 0
-    assert mixing.mix_documents(odd).columns == odd.columns
-    picked = {r["doc_id"] for r in out.filter("sampled").collect()}
-    again = {r["doc_id"] for r in mixing.mix_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), budget=0.5).collect()}
-    assert picked == again
-
-
 def test_pipeline_stages_keep_columns_and_lose_nothing_clean(spark):
     import corpus_pipeline
 
