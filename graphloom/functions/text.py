@@ -166,11 +166,16 @@ def discourse_weight(a: Column, b: Column, lexicon: dict[str, list[str]] | None
     return F.least(F.lit(1.0), total)
 
 
+#: The same matches as the fixed pattern's without backtracking, which in the JVM recurses once a word of a long text.
+PERSON_JVM = r"\b[A-Z][a-z]++(?:\s++[A-Z][a-z]++\b)++"
+
+
 def pattern_entities(x: Column, ignore_case: bool = True, patterns: dict[str, str] | None = None) -> Column:
     """`TYPE:match` in lower case for every match of every pattern, repeats kept."""
     flag = "(?i)" if ignore_case else ""
 
     def named(kind: str, pattern: str) -> Column:
+        pattern = PERSON_JVM if pattern == L.ENTITY_PATTERNS["PERSON/ORG"] else pattern
         return F.transform(F.regexp_extract_all(x, F.lit(f"{flag}({pattern})"), 1), lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m)))
 
     return F.concat(*(named(kind, p) for kind, p in (patterns or L.ENTITY_PATTERNS).items()))

@@ -1,7 +1,7 @@
 """BM25 over any corpus table: fitting and scoring are joins and sums on terms.
 
 Only postings of terms that some query has are joined; document lengths and the corpus size are one
-aggregate. Nothing is collected and no side is broadcast by force.
+aggregate. Only the queries' terms are collected or broadcast, and only while they are few.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators.evaluation import top_per
+from graphloom.sources.storage import cut
 
 K1, B = 1.5, 0.75
+#: Up to so many different query terms are looked up in the documents as a list, and so many rows of query and term broadcast.
+FEW_TERMS, FEW_ASKED = 20_000, 200_000
 
 
 def whitespace_tokens(x: Column) -> Column:
@@ -33,18 +36,33 @@ def fit(docs: DataFrame, doc: str, text: str, tokens=X.tokenize, per: list[str]
 
 
 def score(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, query_text: str, tokens=X.tokenize, k1: float = K1, b: float = B, per: list[str] | None = None) -> DataFrame:
-    """keys, query, doc, score for every pair that shares a term; a repeated query term counts each time."""
+    """keys, query, doc, score for every pair that shares a term; a repeated query term counts each time.
+
+    Documents are read and tokenised once, into a stored table of their lengths and terms. While the queries have at
+    most FEW_TERMS terms, it holds only those terms, and the terms' tables are broadcast: the documents' terms are dealt
+    by document, and neither scoring nor a top-k per query moves pairs beyond the best of each task.
+    """
     keys = per or []
-    postings, stats = fit(docs, doc, text, tokens, per)
-    asked = queries.select(*keys, F.col(query).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy(*keys, "query", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
-    used = postings.join(asked.select(*keys, "term").distinct(), [*keys, "term"], "left_semi")
-    df = used.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weighted = used.join(df, [*keys, "term"])
-    weighted = weighted.join(stats, keys) if keys else weighted.crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = weighted.select(*keys, "doc", "term", part.alias("part"))
-    return weighted.join(asked, [*keys, "term"]).groupBy(*keys, "query", "doc").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+    asked = cut(queries.select(*keys, F.col(query).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy(*keys, "query", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf")))
+    words = asked.select("term").distinct().limit(FEW_TERMS + 1).collect()  # bounded
+    few = len(words) <= FEW_TERMS and asked.count() <= FEW_ASKED
+    hint = F.broadcast if few else lambda df: df
+    sized = docs.select(*keys, F.col(doc).alias("doc"), tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms").cast("double"))
+    if few:
+        known = [w["term"] for w in words]
+        sized = sized.withColumn("terms", F.filter("terms", lambda t: t.isin(known)) if known else F.filter("terms", lambda t: F.lit(False)))
+    sized = cut(sized.repartition(*keys, "doc"))
+    stats = sized.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    spread = sized.select(*keys, "doc", "dl", F.explode("terms").alias("term"))
+    if few:  # the stored table's rows of one document are in one partition: counted there, by document
+        spread = spread.repartition(*keys, "doc")
+    postings = spread.groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl"))
+    df = sized.select(*keys, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    terms = asked.join(df, [*keys, "term"])
+    terms = terms.join(stats, keys) if keys else terms.crossJoin(F.broadcast(stats))  # stats is one row
+    terms = terms.select(*keys, "query", "term", "avgdl", (F.col("qtf") * F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return postings.join(hint(cut(terms)), [*keys, "term"]).groupBy(*keys, "query", "doc").agg(F.sum(part).alias("score"))
 
 
 def topk(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, query_text: str, k: int = 5, tokens=X.tokenize) -> DataFrame:

@@ -24,7 +24,9 @@ def _edges(rows: DataFrame, kind: Column | str, weight: Column | float, prio: in
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+    """Each edge and its reverse, in one pass."""
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("ends")
+    return edges.select(*(c for c in edges.columns if c not in ("src", "dst")), ends).select(*(F.col(f"ends.{c}") if c in ("src", "dst") else F.col(c) for c in edges.columns))
 
 
 def resolve(edges: DataFrame) -> DataFrame:
@@ -92,10 +94,10 @@ def semantic_edges(sims: DataFrame, floor: float = 0.75, quantile: float = 0.85)
 def knn_edges(sims: DataFrame, floor: float = 0.70, quantile: float = 0.80, neighbours: int = 3, existing: DataFrame | None = None) -> DataFrame:
     """For each node its `neighbours` most similar over the threshold, reversed ones added where absent; never over an existing edge."""
     passing = sims.join(dynamic_threshold(sims, quantile, floor), "doc_id").filter(F.col("sim") >= F.col("threshold")).select("doc_id", "src", "dst", "sim")
-    directed = passing.unionByName(passing.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+    directed = both_ways(passing)
     w = Window.partitionBy("doc_id", "src").orderBy(F.desc("sim"), "dst")
     nearest = directed.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= neighbours).drop("n")
-    every = nearest.unionByName(nearest.withColumns({"src": F.col("dst"), "dst": F.col("src")})).dropDuplicates(["doc_id", "src", "dst"])
+    every = both_ways(nearest).dropDuplicates(["doc_id", "src", "dst"])
     if existing is not None:
         every = every.join(existing.select("doc_id", "src", "dst"), ["doc_id", "src", "dst"], "left_anti")
     return _edges(every, "semantic", F.col("sim"), 0)
@@ -146,12 +148,16 @@ def entity_relations(spans: DataFrame) -> DataFrame:
 def text_mentions(texts: DataFrame, names: DataFrame, longest: int = 5) -> DataFrame:
     """doc_id, node_id, name for names that occur as whole words in a text.
 
-    Names are looked up by the texts' word n-grams, an equi-join, and checked by the regular expression; names of
-    more words than `longest`, or with other than word characters at the ends, are found by their first word.
-    names: doc_id, name (lower case).
+    A name is looked up by all its words, the first `longest` of them if it has more, among the texts' word n-grams of
+    the lengths that names have, an equi-join; what is found is checked by the regular expression, whatever stands
+    between the words. names: doc_id, name (lower case); names without a word character are found nowhere.
     """
-    words = texts.select("doc_id", "node_id", F.lower("text").alias("low"), F.expr("array_distinct(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{N}_]+)', 1))").alias("w"))
-    keyed = names.select("doc_id", "name", F.regexp_extract("name", "([\\p{L}\\p{N}_]+)", 1).alias("first")).filter("first <> ''").distinct()
-    rows = words.select("doc_id", "node_id", "low", F.explode("w").alias("first")).join(keyed, ["doc_id", "first"])
+    words_of = lambda x: F.regexp_extract_all(F.lower(x), F.lit(X.WORD), 1)
+    keyed = names.select("doc_id", "name", F.slice(words_of(F.col("name")), 1, longest).alias("nw")).filter(F.size("nw") > 0)
+    keyed = keyed.select("doc_id", "name", F.size("nw").alias("size"), F.array_join("nw", " ").alias("gram")).distinct()
+    words = texts.select("doc_id", "node_id", F.lower("text").alias("low"), words_of(F.col("text")).alias("w"))
+    sized = words.join(keyed.groupBy("doc_id").agg(F.collect_set("size").alias("sizes")), "doc_id")  # `longest` values at most
+    grams = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda k: F.array_join(F.slice("w", k, n), " "))))
+    rows = sized.select("doc_id", "node_id", "low", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, ["doc_id", "gram"])
     exact = F.expr("low rlike concat('\\\\b\\\\Q', name, '\\\\E\\\\b')")
     return rows.filter(F.contains(F.col("low"), F.col("name")) & exact).select("doc_id", "node_id", "name").distinct()

@@ -145,6 +145,15 @@ def minmax(x: Column, window) -> Column:
     return F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
 
 
+def scaled(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """The columns scaled to [0, 1] over the rows of a key, 0 where all are equal; bounds by an aggregate, so no task meets all rows of a key."""
+    bounds = rows.groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("_low", F.min), ("_high", F.max))))
+    out = rows.join(bounds, keys)
+    low, high = (lambda c: F.col(f"_low_{c}")), (lambda c: F.col(f"_high_{c}"))
+    out = out.withColumns({c: F.when(high(c) > low(c), (F.col(c) - low(c)) / (high(c) - low(c))).otherwise(0.0) for c in columns})
+    return out.select(*rows.columns)
+
+
 def rrf(rows: DataFrame, keys: list[str], item: str, rank: str) -> DataFrame:
     """Reciprocal rank fusion over lists: sum of 1 / (rank + 1), ranks from 0."""
     return rows.groupBy(*keys, item).agg(F.sum(F.lit(1.0).cast("double") / (F.col(rank) + 1)).alias("rrf"))

@@ -55,12 +55,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, nod
     size = node.groupBy("graph").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sinks = node.join(share.select("graph", F.col("src").alias("node")).distinct(), ["graph", "node"], "left_anti").withColumn("sink", F.lit(True))
     state = cut(node.join(size, "graph").join(sinks, ["graph", "node"], "left").select("graph", "node", "n", F.coalesce("sink", F.lit(False)).alias("sink"), (1 / F.col("n")).alias("rank")))
-    before = state
+    before, leaks = state, not state.filter("sink").isEmpty()
     for step in range(1, iterations + 1):
         sent = share.join(state.select("graph", F.col("node").alias("src"), "rank"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).over(Window.partitionBy("graph"))
-        state = state.withColumn("lost", lost).join(sent, ["graph", "node"], "left")
-        rank = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        mass = F.coalesce("got", F.lit(0.0))
+        if leaks:  # one row a graph, joined back: no task meets a whole graph
+            lost = state.filter("sink").groupBy("graph").agg(F.sum("rank").alias("lost"))
+            state, mass = state.join(lost, "graph", "left"), mass + F.coalesce("lost", F.lit(0.0)) / F.col("n")
+        state = state.join(sent, ["graph", "node"], "left")
+        rank = (1 - damping) / F.col("n") + damping * mass
         state = state.select("graph", "node", "n", "sink", rank.alias("rank"))
         if step % every == 0 or step == iterations:
             state = cut(state)
@@ -72,8 +75,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, nod
     return state.select("graph", "node", F.col("rank").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, iterations: int = 100, every: int = 2) -> DataFrame:
-    """Eigenvector centrality by power iteration of (A + I), normalised each step; the start is uniform."""
+def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """Eigenvector centrality by power iteration of (A + I), normalised each step; the start is uniform.
+
+    Ends once every graph's L1 change in a step is below nodes * tolerance, or after `iterations` steps.
+    """
     node = nodes_of(edges)
     size = node.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     links = cut(edges.select("graph", "src", "dst").distinct())
@@ -81,9 +87,13 @@ def eigenvector(edges: DataFrame, iterations: int = 100, every: int = 2) -> Data
     for step in range(1, iterations + 1):
         got = links.join(state.select("graph", F.col("node").alias("src"), "x"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.sum("x").alias("got"))
         raw = state.join(got, ["graph", "node"], "left").select("graph", "node", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x"))
-        state = raw.select("graph", "node", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("graph")))).alias("x"))
-        if step % every == 0 or step == iterations:
-            state = cut(state)
+        raw = cut(raw)
+        length = raw.groupBy("graph").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+        before, state = state, raw.join(length, "graph").select("graph", "node", (F.col("x") / F.col("length")).alias("x"))
+        if tolerance is not None and step % 4 == 0:
+            change = state.join(before.select("graph", "node", F.col("x").alias("old")), ["graph", "node"]).groupBy("graph").agg(F.sum(F.abs(F.col("x") - F.col("old"))).alias("c"), F.count(F.lit(1)).alias("n"))
+            if change.filter(F.col("c") >= F.col("n") * tolerance).isEmpty():
+                break
     return state.select("graph", "node", F.col("x").alias("eigenvector"))
 
 
@@ -94,29 +104,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select("graph", F.col("node").alias("dst"), F.col("component").alias("c")), ["graph", "dst"]).groupBy("graph", F.col("src").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, ["graph", "node"]).select("graph", "node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = step.select("graph", F.col("node").alias("component"), F.col("component").alias("next"))
-        moved = cut(step.join(jump, ["graph", "component"], "left").select("graph", "node", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
+        step = cut(step)
+        # only labels that have moved on themselves are looked up
+        heads = step.filter("component < node").select("graph", F.col("node").alias("component"), F.col("component").alias("next"))
+        jump = step.select("graph", "component").distinct().join(heads, ["graph", "component"])
+        moved = cut(step.join(jump, ["graph", "component"], "left").select("graph", "node", "old", F.coalesce("next", "component").alias("component")))
         labels = moved.select("graph", "node", "component")
         if moved.filter("old <> component").isEmpty():
             return labels
 
 
-def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, directed: bool = True) -> DataFrame:
-    """start, node, distance for nodes within `hops` of each start: breadth first, the visited removed by anti-join."""
+def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int | None, directed: bool = True) -> DataFrame:
+    """start, node, distance for nodes within `hops` of each start, or all that it reaches: breadth first, the visited removed by anti-join."""
     links = edges.select("graph", "src", "dst")
     if not directed:
         links = links.union(edges.select("graph", F.col("dst"), F.col("src")))
     links = cut(links.distinct())
     seen = frontier = cut(starts.select("graph", F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct())
-    for d in range(1, hops + 1):
+    d = 0
+    while hops is None or d < hops:
+        d += 1
         reached = frontier.join(links, (links.graph == frontier.graph) & (links.src == frontier.node)).select(frontier.graph, "start", F.col("dst").alias("node")).distinct()
         frontier = cut(reached.join(seen.select("graph", "start", "node"), ["graph", "start", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def hop_distance(edges: DataFrame, pairs: DataFrame, most: int, directed: bool = False) -> DataFrame:
-    """graph, a, b, length of the shortest path of at most `most` steps; null if there is none."""
+def hop_distance(edges: DataFrame, pairs: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
+    """graph, a, b, length of the shortest path (of at most `most` steps, if that is given); null if there is none."""
     starts = pairs.select("graph", F.col("a").alias("node")).distinct()
     reach = neighbourhood(edges, starts, most, directed).select("graph", F.col("start").alias("a"), F.col("node").alias("b"), F.col("distance").alias("length"))
     return pairs.select("graph", "a", "b").join(reach, ["graph", "a", "b"], "left")
@@ -274,10 +291,10 @@ def weighted_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def span_centrality(edges: DataFrame, iterations: int = 100) -> DataFrame:
     """The mean of PageRank and betweenness."""
-    both = pagerank(edges, iterations=iterations).join(betweenness(edges), ["graph", "node"])
+    both = pagerank(edges, iterations=iterations, tolerance=1e-6).join(betweenness(edges), ["graph", "node"])
     return both.select("graph", "node", ((F.col("pagerank") + F.col("betweenness")) / 2).alias("centrality"))
 
 
 def metric_bundle(edges: DataFrame, iterations: int = 100) -> DataFrame:
     """PageRank and degree of each node."""
-    return pagerank(edges, iterations=iterations).join(degree(edges), ["graph", "node"])
+    return pagerank(edges, iterations=iterations, tolerance=1e-6).join(degree(edges), ["graph", "node"])

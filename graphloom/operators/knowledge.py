@@ -103,16 +103,21 @@ def entity_facts(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int =
     return ranked.groupBy("doc_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", X.fact(F.col("subject"), F.col("relation"), F.col("object")).alias("f")))), lambda s: s["f"]).alias("facts"))
 
 
-def path_evidence(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+def path_evidence(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, a, b, nodes, steps: a shortest undirected path and its steps `x -[relation]-> y`, the relation of the edge that exists.
 
-    pairs: doc_id, a, b. Paths grow one edge a step from a, the smallest predecessor kept at each node.
+    pairs: doc_id, a, b. Paths grow one edge a step from a, the smallest predecessor kept at each node, until nothing
+    new is reached (or for `most` steps, if that is given). A pair without a path has no row.
     """
     links = cut(edges.select("doc_id", "src", "dst").union(edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = frontier = cut(pairs.select("doc_id", "a").distinct().select("doc_id", "a", F.col("a").alias("node"), F.array("a").alias("nodes")))
-    for _ in range(most):
+    step = 0
+    while most is None or step < most:
+        step += 1
         grown = frontier.select("doc_id", "a", F.col("node").alias("src"), "nodes").join(links, ["doc_id", "src"]).groupBy("doc_id", "a", F.col("dst").alias("node")).agg(F.min("nodes").alias("before"))
         frontier = cut(grown.join(seen.select("doc_id", "a", "node"), ["doc_id", "a", "node"], "left_anti").select("doc_id", "a", "node", F.concat("before", F.array("node")).alias("nodes")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     found = pairs.select("doc_id", "a", "b").join(seen.withColumnRenamed("node", "b"), ["doc_id", "a", "b"])
     steps = found.select("doc_id", "a", "b", "nodes", F.posexplode(F.arrays_zip(F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))).alias("x"), F.slice("nodes", 2, F.size("nodes")).alias("y"))).alias("pos", "s"))

@@ -12,11 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import lexicons as L
 from graphloom.functions import text as X
-from graphloom.operators.evaluation import minmax, rrf, top_per
-
-
-def by_question():
-    return Window.partitionBy("q_id")
+from graphloom.operators.evaluation import rrf, scaled, top_per
 
 
 def content_overlap(question_tokens: Column, text_tokens: Column) -> Column:
@@ -28,13 +24,14 @@ def content_overlap(question_tokens: Column, text_tokens: Column) -> Column:
 def sentence_scores(rows: DataFrame) -> DataFrame:
     """Adds score = .45 cosine + .25 overlap ratio + .20 scaled BM25 + .10 PageRank. Columns: sem, overlap, q_terms, bm25, pagerank."""
     ratio = F.when(F.col("q_terms") > 0, F.col("overlap") / F.col("q_terms")).otherwise(0.0)
-    return rows.withColumn("score", 0.45 * F.col("sem") + 0.25 * ratio + 0.20 * minmax(F.col("bm25"), by_question()) + 0.10 * F.col("pagerank"))
+    return scaled(rows, ["bm25"], ["q_id"]).withColumn("score", 0.45 * F.col("sem") + 0.25 * ratio + 0.20 * F.col("bm25") + 0.10 * F.col("pagerank"))
 
 
 def weighted_combine(rows: DataFrame, weights: tuple[float, float, float] = L.HYBRID_WEIGHTS) -> DataFrame:
     """Adds score: min-max scaled sem, lex and cent, weighted; a constant column scales to 0."""
-    parts = [w * minmax(F.col(c), by_question()) for w, c in zip(weights, ("sem", "lex", "cent"), strict=True)]
-    return rows.withColumn("score", parts[0] + parts[1] + parts[2])
+    score = scaled(rows.withColumns({"_sem": F.col("sem"), "_lex": F.col("lex"), "_cent": F.col("cent")}), ["_sem", "_lex", "_cent"], ["q_id"])
+    parts = [w * F.col(c) for w, c in zip(weights, ("_sem", "_lex", "_cent"), strict=True)]
+    return score.withColumn("score", parts[0] + parts[1] + parts[2]).drop("_sem", "_lex", "_cent")
 
 
 def hybrid(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -98,16 +95,16 @@ def final_scores(rows: DataFrame, weights: dict[str, float] | None = None) -> Da
     BM25 is scaled over the candidates of the question; the bonus is .05 a knowledge-graph hit, at most .15.
     """
     weights = weights or L.CORE_WEIGHTS
-    scaled = rows.withColumns({"bm25": minmax(F.col("bm25"), by_question()), "kg_bonus": F.least(F.lit(0.15), 0.05 * F.col("kg_hits"))})
+    ready = scaled(rows, ["bm25"], ["q_id"]).withColumn("kg_bonus", F.least(F.lit(0.15), 0.05 * F.col("kg_hits")))
     total = F.lit(0.0)
     for name, w in weights.items():
         total = total + w * F.col(name)
-    return scaled.withColumn("score", F.round(total, 6))
+    return ready.withColumn("score", F.round(total, 6))
 
 
-def relevant(score: Column, overlap: Column, is_sentence: Column) -> Column:
-    """Whether a candidate stays: never under .12; by overlap and score; a sentence from .50; else with one shared word."""
-    return (score >= 0.12) & ((overlap >= 2) | (score >= 0.40) | ((overlap >= 1) & (score >= 0.30)) | (is_sentence & (score >= 0.50)) | (overlap >= 1))
+def relevant(score: Column, overlap: Column, sentence_score: Column) -> Column:
+    """Whether a candidate stays: never with a score under .12; with a shared content word, a score of .40, or a score of .50 of its sentence."""
+    return (score >= 0.12) & ((overlap >= 1) | (score >= 0.40) | (F.coalesce(sentence_score, F.lit(0.0)) >= 0.50))
 
 
 def merge_sub_questions(rows: DataFrame) -> DataFrame:

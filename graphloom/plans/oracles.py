@@ -41,6 +41,9 @@ def _sentences(x: str) -> str:
 
 PAIRS = "pairs as (select conv_id, turn, text pred, gold from (select *, lead(text) over (partition by conv_id order by turn) gold from conversations) where gold is not null)"
 TURNS = f"turns as (select conv_id doc_id, turn node_id, (turn // 4)::int page, role section, text, list_filter({_tokens('text')}, lambda w: length(w) >= 10) entities from conversations)"
+SENTENCES = f"turns as (select doc_id, i - 1 node_id, s[i] text, list_filter({_tokens('s[i]')}, lambda w: length(w) >= 10) entities from (select doc_id, s, unnest(range(1, len(s) + 1)) i from (select doc_id, {_sentences('text')} s from documents)))"
+#: Accented letters are word characters: as underscores they are so for a regular expression that knows ASCII words only.
+MASKED = "regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g')"
 COSINE = """v as (select vec_id // 50 doc_id, vec_id node_id, embedding::double[] e from embeddings),
 sims as (select a.doc_id, a.node_id src, b.node_id dst, list_cosine_similarity(a.e, b.e) sim from v a join v b on a.doc_id = b.doc_id and a.node_id < b.node_id)"""
 KNN = f"""{COSINE},
@@ -52,7 +55,7 @@ g as (select distinct on (doc_id, src, dst) doc_id graph, src, dst, round(sim, 6
 NODES = "nodes as (select graph, src node from g union select graph, dst from g)"
 CAND = """c as (select source q_id, doc_id span_id, (doc_id * 37 % 101)::double / 101 sem, (n_chars % 97)::double lex, (doc_id % 13)::double cent, (doc_id % 5)::int overlap,
  doc_id % 3 = 0 sentence_overlap, (doc_id % 7)::int sentence_id, text from documents)"""
-TRIPLES = f"""{TURNS},
+TRIPLES = f"""{SENTENCES},
 flat as (select doc_id, node_id, unnest(entities) name, generate_subscripts(entities, 1) pos from turns),
 trip as (select doc_id, node_id, pos, name subject, lead(name) over (partition by doc_id, node_id order by pos) object, case when length(name) % 2 = 0 then 'even' else 'odd' end label from flat),
 t as (select * from trip where object is not null and subject <> object),
@@ -168,11 +171,11 @@ def _fuzzy(words: list[str], tokens: str) -> str:
 
 
 ORACLES = {
-    "sentence_split": f"select doc_id, len(s)::int n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::int n_chars_kept from (select doc_id, {_sentences('text')} s from documents)",
+    "sentence_split": f"select doc_id, len(s)::int n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::int n_chars_kept, md5(array_to_string(s, chr(10))) sentences_md5 from (select doc_id, {_sentences('text')} s from documents)",
     "sentence_nodes": f"select doc_id, i - 1 node_id, (i - 1)::int sent_index, md5(s[i]) text_md5 from (select doc_id, s, unnest(range(1, len(s) + 1)) i from (select doc_id, {_sentences('text')} s from documents))",
     "section_detect": f"select doc_id, line, t title from (select doc_id, (i - 1)::int line, trim(l[i], ' ') t from (select doc_id, l, unnest(range(1, len(l) + 1)) i from (select doc_id, string_split(text, chr(10)) l from documents))) where {_title('t')}",
-    "clause_split": "select conv_id, turn, len(string_split(regexp_replace(regexp_replace(text, ':\\s+([A-Z])', chr(1) || '\\1', 'g'), ';\\s+', chr(1), 'g'), chr(1)))::int n_clauses from conversations",
-    "normalize_tokens": f"select doc_id, len(t)::int n_tokens, len(list_distinct(t))::int n_distinct from (select doc_id, {_tokens('text')} t from documents)",
+    "clause_split": "select conv_id, turn, len(c)::int n_clauses, md5(array_to_string(c, chr(10))) clauses_md5 from (select conv_id, turn, string_split(regexp_replace(regexp_replace(text, ':\\s+([A-Z])', chr(1) || '\\1', 'g'), ';\\s+', chr(1), 'g'), chr(1)) c from conversations)",
+    "normalize_tokens": f"select doc_id, len(t)::int n_tokens, len(list_distinct(t))::int n_distinct, md5(array_to_string(t, ' ')) tokens_md5 from (select doc_id, {_tokens('text')} t from documents)",
     "answer_normalize": f"select item_id, {_answer('text')} answer, len({_answer_tokens('text')})::int n_tokens from benchmark",
     "page_sections": """with p as (select page_id page, regexp_extract(url, '://([^/:?#]+)', 1) doc_id, html from pages),
 h as (select page, doc_id, case when page % 3 = 0 then trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) end raw from p),
@@ -185,14 +188,14 @@ c as (select page_id, title, regexp_replace(regexp_replace(body, '(?i)</(p|div|l
 e as (select page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') title,
  replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') body from c)
 select page_id, title, trim(regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ') body from e""",
-    "pattern_entities": "select doc_id, entity, count(*) n from (" + " union all ".join(f"select doc_id, {_q(k + ':')} || lower(unnest(regexp_extract_all(text, {_q('(?i)(' + p + ')')}, 1))) entity from documents" for k, p in L.ENTITY_PATTERNS.items() if k != "PERSON/ORG") + ") group by 1, 2",
-    "person_entities": f"select item_id, entity, count(*) n from (select item_id, 'PERSON/ORG:' || lower(unnest(regexp_extract_all(translate(text, 'éèêçíóñáäöüßÉÈÊÇÍÓÑÁÄÖÜ', 'eeecionaaousEEECIONAAOU'), {_q('(?i)(' + L.ENTITY_PATTERNS['PERSON/ORG'] + ')')}, 1))) entity from benchmark) group by 1, 2",
+    "pattern_entities": "select doc_id, entity, count(*) n from (" + " union all ".join(f"select doc_id, {_q(k + ':')} || lower(unnest(regexp_extract_all({MASKED}, {_q('(?i)(' + p + ')')}, 1))) entity from documents" for k, p in L.ENTITY_PATTERNS.items()) + ") group by 1, 2",
+    "person_entities": f"select doc_id, entity, count(*) n from (select doc_id, 'PERSON/ORG:' || lower(unnest(regexp_extract_all({MASKED}, {_q('(' + L.ENTITY_PATTERNS['PERSON/ORG'] + ')')}, 1))) entity from documents) group by 1, 2",
     "discourse_types": f"select doc_id, array_to_string({_discourse(L.DISCOURSE, 'lower(text)')}, ',') types from documents",
     "bm25_topk": f"with {_bm25(_tokens)} select query, doc, score, rank from top",
     "rag_bm25_topk": f"with {_bm25(_space_tokens)} select query, doc, score, rank from top",
     "evidence_recall": f"with {_bm25(_tokens)} select b.item_id, coalesce(max(case when {_answer('b.text')} <> '' and contains({_answer('d2.text')}, {_answer('b.text')}) then 1.0 else 0.0 end), 0)::double recall_at_5 from benchmark b left join top on query = b.item_id left join documents d2 on d2.doc_id = top.doc group by 1",
     "em_f1": f"with {_prf('pred', 'gold', PAIRS)} select conv_id, turn, (pa = ga)::int::double em, round(case when np > 0 then same / np else 0 end, 6) \"precision\", round(case when ng > 0 then same / ng else 0 end, 6) recall, round(case when same > 0 then 2 * (same / np) * (same / ng) / (same / np + same / ng) else 0 end, 6) f1, (contains(ga, pa) or contains(pa, ga))::int::double substring from m",
-    "f1_fallback": f"""with {_prf('pred', 'gold', PAIRS.replace('text pred, gold from', 'text[1:12] pred, gold[1:12] gold from'))},
+    "f1_fallback": f"""with {_prf('pred', 'gold', PAIRS)},
 num as (select *, try_cast(nullif(regexp_extract(pred, '([-+]?[0-9]*\\.?[0-9]+)', 1), '') as double) a, try_cast(nullif(regexp_extract(gold, '([-+]?[0-9]*\\.?[0-9]+)', 1), '') as double) b from m),
 f as (select *, case when np = 0 and ng = 0 then 1.0 when np = 0 or ng = 0 then 0.0 when contains(ga, pa) or contains(pa, ga) then 0.6 when coalesce(abs(a - b) <= greatest(1e-6, 0.01 * greatest(abs(b), 1.0)), false) then 1.0 else 0.0 end::double fb from num)
 select conv_id, turn, round(case when same > 0 then same / np else fb end, 6) "precision", round(case when same > 0 then same / ng else fb end, 6) recall, round(case when same > 0 then 2 * (same / np) * (same / ng) / (same / np + same / ng) else fb end, 6) f1 from f""",
@@ -216,28 +219,28 @@ union all select doc_id, node_id, nxt, 'sequential', 0.9 from l where ns <> sent
 select m.doc_id, m.node_id src, t.node_id dst, types[-1] "type", 0.85::double weight from m join turns t on t.doc_id = m.doc_id and abs(t.node_id - m.node_id) <= 1 and t.node_id <> m.node_id where len(types) > 0""",
     "cosine_threshold_edges": f"with {COSINE}, th as (select doc_id, greatest(0.05, quantile_cont(sim, 0.85)) t from sims group by doc_id), p as (select s.* from sims s join th using (doc_id) where sim >= t) select doc_id, src, dst, round(sim, 6) weight from p union all select doc_id, dst, src, round(sim, 6) from p",
     "knn_edges": f"with {KNN} select graph, src, dst, weight from g",
-    "entity_edges": f"""with {TURNS}, m as (select doc_id, node_id, unnest(entities) entity, generate_subscripts(entities, 1) pos from turns),
+    "entity_edges": f"""with {SENTENCES}, m as (select doc_id, node_id, unnest(entities) entity, generate_subscripts(entities, 1) pos from turns),
 p as (select a.doc_id, a.node_id src, b.node_id dst from m a join m b on a.doc_id = b.doc_id and a.entity = b.entity and (a.node_id, a.pos) < (b.node_id, b.pos))
 select distinct doc_id, src, dst, 'entity' "type", 0.85::double weight from (select * from p union all select doc_id, dst, src from p)""",
-    "mention_edges": f"""with {TURNS}, m as (select distinct doc_id, node_id::varchar s, 'entity::' || unnest(entities) e from turns)
+    "mention_edges": f"""with {SENTENCES}, m as (select distinct doc_id, node_id::varchar s, 'entity::' || unnest(entities) e from turns)
 select doc_id, s src, e dst, 'mentions' "type", 1.0::double weight from m union all select doc_id, e, s, 'mentioned_in', 1.0 from m""",
-    "entity_relations": f"with {TURNS} select distinct doc_id, entities[1] src, entities[2] dst, 'entity_relation' \"type\", 0.9::double weight from turns where len(entities) >= 2 and entities[1] <> entities[2]",
-    "text_mentions": f"with {TURNS}, k as (select distinct doc_id, unnest(entities[1:3]) name from turns where node_id = 0) select distinct t.doc_id, t.node_id, k.name from turns t join k using (doc_id) where list_contains({_tokens('t.text')}, k.name)",
+    "entity_relations": f"with {SENTENCES} select distinct doc_id, entities[1] src, entities[2] dst, 'entity_relation' \"type\", 0.9::double weight from turns where len(entities) >= 2 and entities[1] <> entities[2]",
+    "text_mentions": f"with {TURNS}, k as (select distinct doc_id, unnest(entities) name from turns) select distinct t.doc_id, t.node_id, k.name from turns t join k using (doc_id) where list_contains({_tokens('t.text')}, k.name)",
     "degree": f"with {KNN} select graph, node, count(*) degree from (select graph, src node from g union all select graph, dst from g) group by 1, 2",
     "degree_centrality": f"with {KNN}, d as (select graph, node, count(*) degree from (select graph, src node from g union all select graph, dst from g) group by 1, 2) select graph, node, round(case when n > 1 then degree / (n - 1) else 1 end, 6) centrality from d join (select graph, count(*) n from d group by 1) using (graph)",
     "density": f"with {KNN}, {NODES} select graph, n nodes, e edges, case when n > 1 then round(e / (n * (n - 1)), 6) else 0 end density from (select graph, count(*) n from nodes group by 1) join (select graph, count(*) e from g group by 1) using (graph)",
-    "pagerank_fixed": _pagerank(10),
-    "khop": f"""with {KNN}, {NODES}, s as (select graph, node from nodes where node % 10 = 0),
+    "pagerank_fixed": _pagerank(20),
+    "khop": f"""with {KNN}, {NODES}, s as (select graph, node from nodes),
 h1 as (select distinct s.graph, s.node start, g.dst node from s join g on g.graph = s.graph and g.src = s.node), h2 as (select distinct h1.graph, start, g.dst node from h1 join g on g.graph = h1.graph and g.src = h1.node),
 a as (select graph, node start, node, 0 distance from s union all select graph, start, node, 1 from h1 union all select graph, start, node, 2 from h2) select graph, start, node, min(distance)::int distance from a group by 1, 2, 3""",
-    "shortest_path_len": f"""with recursive {KNN}, {NODES}, u as (select graph, src, dst from g union select graph, dst, src from g), a as (select graph, node a from nodes where node % 50 = 0),
-r(graph, a, node, d) as (select graph, a, a, 0 from a union select r.graph, r.a, u.dst, d + 1 from r join u on u.graph = r.graph and u.src = r.node where d < 4)
-select a.graph, a.a, n.node b, min(r.d)::int length from a join nodes n on n.graph = a.graph and n.node % 50 >= 40 left join r on r.graph = a.graph and r.a = a.a and r.node = n.node group by 1, 2, 3""",
+    "shortest_path_len": f"""with recursive {KNN}, {NODES}, u as (select graph, src, dst from g union select graph, dst, src from g), a as (select graph, node a from nodes),
+r(graph, a, node, d) as (select graph, a, a, 0 from a union select r.graph, r.a, u.dst, d + 1 from r join u on u.graph = r.graph and u.src = r.node where d < 49)
+select a.graph, a.a, n.node b, min(r.d)::int length from a join nodes n on n.graph = a.graph left join r on r.graph = a.graph and r.a = a.a and r.node = n.node group by 1, 2, 3""",
     "components": f"""with recursive {KNN}, {NODES}, u as (select graph, src, dst from g union select graph, dst, src from g),
 r(graph, a, node) as (select graph, node, node from nodes union select r.graph, r.a, u.dst from r join u on u.graph = r.graph and u.src = r.node) select graph, a node, min(node) component from r group by 1, 2""",
     "traversal": f"""with {KNN}, {NODES}, t as (select *, case when weight > 0.15 then 'condition' else 'semantic' end "type" from g), d as (select graph, node, count(*) degree from (select graph, src node from g union all select graph, dst from g) group by 1, 2),
 k as (select t.*, row_number() over (partition by t.graph, src order by degree desc, dst) n from t join d on d.graph = t.graph and d.node = t.dst), s as (select graph, src, dst from k where n <= 5 and "type" = 'condition'),
-s0 as (select graph, node from nodes where node % 10 = 0), s1 as (select distinct s.graph, s.dst node from s join s0 on s0.graph = s.graph and s0.node = s.src where (s.graph, s.dst) not in (select graph, node from s0)),
+s0 as (select graph, node from nodes where node % 20 = 0), s1 as (select distinct s.graph, s.dst node from s join s0 on s0.graph = s.graph and s0.node = s.src where (s.graph, s.dst) not in (select graph, node from s0)),
 s2 as (select distinct s.graph, s.dst node from s join s1 on s1.graph = s.graph and s1.node = s.src where (s.graph, s.dst) not in (select graph, node from s0 union select graph, node from s1)) select graph, node, 1 depth from s1 union all select graph, node, 2 from s2""",
     "diverse_by_section": "with r as (select conv_id q_id, turn span_id, role section, turn rank from conversations), a as (select *, case when row_number() over (partition by q_id, section order by rank) > 1 then 1 else 0 end again from r), p as (select *, row_number() over (partition by q_id order by again, rank)::int pick from a) select q_id, span_id, pick from p where pick <= 3",
     "minmax_fuse": f"with {CAND} select q_id, span_id, round(0.5 * {_minmax('sem')} + 0.3 * {_minmax('lex')} + 0.2 * {_minmax('cent')}, 6) score from c",
@@ -245,10 +248,10 @@ s2 as (select distinct s.graph, s.dst node from s join s1 on s1.graph = s.graph
     "rrf_merge": f"with {CAND}, l as (select * from {_top('sem', 20)} union all select * from {_top('lex', 20)}), f as (select q_id, span_id, sum(1.0::double / rank) rrf from l group by 1, 2) select q_id, span_id, round(rrf, 6) rrf, rank from (select *, row_number() over (partition by q_id order by rrf desc, span_id)::int rank from f) where rank <= 10",
     "candidate_union": f"with {CAND}, l as (select q_id, span_id, 1 h, 0 t, 0 k from {_top('sem')} union all select q_id, span_id, 0, 1, 0 from {_top('lex')} union all select q_id, span_id, 0, 0, 1 from {_top('cent')}) select q_id, span_id, max(h)::double in_hybrid, max(t)::double in_traversal, max(k)::double in_kg from l group by 1, 2",
     "ordered_dedup": f"with {CAND}, l as (select q_id, span_id, 0 l, rank from {_top('lex')} union all select q_id, span_id, 1, rank from {_top('sem')} union all select q_id, span_id, 2, rank from {_top('cent')}), f as (select q_id, span_id, min(l * 100 + rank) k from l group by 1, 2) select q_id, span_id, row_number() over (partition by q_id order by k, span_id)::int pos from f",
-    "final_score": f"""with {CAND}, s as (select q_id, span_id, overlap, round(0.28 * sem + 0.18 * {_minmax('lex')} + 0.12 * (overlap::double / 5) + 0.10 * (cent / 13) + 0.08 * (cent / 26)
+    "final_score": f"""with {CAND}, s as (select q_id, span_id, overlap, cent / 13 sentence, round(0.28 * sem + 0.18 * {_minmax('lex')} + 0.12 * (overlap::double / 5) + 0.10 * (cent / 13) + 0.08 * (cent / 26)
  + 0.06 * (span_id % 2 = 0)::int::double + 0.04 * (span_id % 3 = 0)::int::double + 0.03 * (span_id % 5 = 0)::int::double + 0.05 * (span_id % 7 = 0)::int::double + 0.06 * least(0.15::double, 0.05::double * (span_id % 4)), 6) score from c)
-select q_id, span_id, score, score >= 0.12 and (overlap >= 1 or score >= 0.4 or (span_id % 2 = 0 and score >= 0.5)) relevant from s""",
-    "answer_rank": f"""with {CAND}, r as (select q_id, span_id, sentence_id, text[1:400] text, span_id % 2 = 0 sent, sem, row_number() over (partition by q_id order by lex desc, span_id) pos from c),
+select q_id, span_id, score, score >= 0.12 and (overlap >= 1 or score >= 0.4 or sentence >= 0.5) relevant from s""",
+    "answer_rank": f"""with {CAND}, r as (select q_id, span_id, sentence_id, text, span_id % 2 = 0 sent, sem, row_number() over (partition by q_id order by lex desc, span_id) pos from c),
 o as (select *, {_fuzzy(['the', 'andxx', 'menteau'], _tokens('text'))} ov from r where pos <= 40),
 s as (select *, round(sem + case when sent then 0.08 else 0 end + 0.2 * (ov::double / 3) + case when ov >= 2 then 0.08 when ov = 0 then -0.12 else 0 end - case when length(text) > 352 then 0.08 else 0 end - 0.0003::double * least(length(text), 600), 6)::double answer_score from o),
 n as (select *, row_number() over (partition by q_id, sentence_id order by answer_score desc, pos) n from s), l as (select *, count(*) filter (where n <= 2) over (partition by q_id) lf from n)
@@ -262,11 +265,11 @@ select doc_id, case when length(text) <= 220 then text when dot - 1 > 132 then c
     "kg_triples": f"with {TRIPLES} select doc_id, src, dst, relation, weight from kg",
     "kg_nodes": f"with {TRIPLES}, e as (select doc_id, subject x, label, node_id, pos from t union all select doc_id, object, null, node_id, pos from t) select doc_id, x \"text\", coalesce(arg_min(label, node_id * 100000 + pos) filter (where label is not null), 'entity') label, count(*) frequency from e group by 1, 2",
     "kg_stats": f"with {TRIPLES}, v as (select doc_id, src x from kg union select doc_id, dst from kg), n as (select doc_id, count(*) nodes from v group by 1), e as (select doc_id, count(*) edges from kg group by 1) select doc_id, nodes, edges, case when nodes > 1 then round(edges / (nodes * (nodes - 1)), 6) else 0 end density from n join e using (doc_id)",
-    "kg_facts": f"""with {TRIPLES}, s as (select doc_id, min(src) start from kg group by 1), h1 as (select distinct s.doc_id, start, case when src = start then dst else src end n from s join kg on kg.doc_id = s.doc_id and (src = start or dst = start)),
+    "kg_facts": f"""with {TRIPLES}, s as (select distinct doc_id, src start from kg), h1 as (select distinct s.doc_id, start, case when src = start then dst else src end n from s join kg on kg.doc_id = s.doc_id and (src = start or dst = start)),
 seen as (select doc_id, start, start n, 1 hop from s union all select doc_id, start, n, 2 from h1), f as (select x.doc_id, start, src, relation, dst, max(weight) weight, min(hop) hop from seen x join kg on kg.doc_id = x.doc_id and (kg.src = x.n or kg.dst = x.n) group by 1, 2, 3, 4, 5),
 k as (select *, row_number() over (partition by doc_id, start order by weight desc, hop, src, dst) r from f) select doc_id, start, string_agg(src || ' ' || relation || ' ' || dst, ' | ' order by r) facts from k where r <= 8 group by 1, 2""",
-    "kg_chains": f"""with {TRIPLES}, s as (select doc_id, min(src) a from kg group by 1), d as (select kg.doc_id, a, dst z from s join kg on kg.doc_id = s.doc_id and kg.src = a),
-f as (select s.doc_id, a, k1.dst b, k2.dst z from s join kg k1 on k1.doc_id = s.doc_id and k1.src = a join kg k2 on k2.doc_id = s.doc_id and k2.src = k1.dst where k2.dst <> a and (s.doc_id, k2.dst) not in (select doc_id, z from d))
+    "kg_chains": f"""with {TRIPLES}, s as (select distinct doc_id, src a from kg), d as (select kg.doc_id, a, dst z from s join kg on kg.doc_id = s.doc_id and kg.src = a),
+f as (select s.doc_id, a, k1.dst b, k2.dst z from s join kg k1 on k1.doc_id = s.doc_id and k1.src = a join kg k2 on k2.doc_id = s.doc_id and k2.src = k1.dst where k2.dst <> a and (s.doc_id, a, k2.dst) not in (select doc_id, a, z from d))
 select doc_id q_id, a || ' -> ' || z "text", 0.25::double score from d union all select doc_id, a || ' -> ' || min(b) || ' -> ' || z, round(0.5::double / 3, 6) from f group by doc_id, a, z""",
     "tfidf_importance": f"""with d as (select doc_id, list_filter({_tokens('text')}, lambda t: length(t) > 1 and not list_contains([{', '.join(map(_q, L.STOP_WORDS))}], t)) w from documents),
 tf as (select doc_id, term, count(*)::double tf from (select doc_id, unnest(w) term from d) group by 1, 2), top as (select term, sum(tf) total, count(*)::double df from tf group by 1 order by total desc, term limit 100), n as (select count(*)::double n from documents),

@@ -13,6 +13,7 @@ from graphloom.functions import lexicons as L
 from graphloom.functions import text as X
 from graphloom.operators import answers, bm25, comparison, edges, evaluation, graphs, knowledge, models, passages, questions, retrieval
 from graphloom.sources import documents, sampling, sinks
+from graphloom.sources.storage import cut
 
 QUERIES = {}
 
@@ -36,6 +37,12 @@ def _turns(spark, sf):
     return t.withColumn("entities", F.filter(X.tokenize(F.col("text")), lambda w: F.length(w) >= 10))
 
 
+def _sentences(spark, sf):
+    """Sentences of documents: the words of ten letters or more are the entities."""
+    s = passages.sentence_nodes(_pages(spark, sf)).withColumn("sentence_id", F.col("node_id"))
+    return s.withColumn("entities", F.filter(X.tokenize(F.col("text")), lambda w: F.length(w) >= 10))
+
+
 def _answer_pairs(spark, sf):
     """Each turn as the prediction for the next."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -47,7 +54,7 @@ def _vectors(spark, sf):
 
 
 def _graph(spark, sf):
-    e = edges.knn_edges(edges.similarities(_vectors(spark, sf)), floor=0.05, quantile=0.80)
+    e = cut(edges.knn_edges(cut(edges.similarities(_vectors(spark, sf))), floor=0.05, quantile=0.80))
     return e.select(F.col("doc_id").alias("graph"), "src", "dst", "type", F.round("weight", 6).alias("weight"))
 
 
@@ -71,7 +78,7 @@ def _candidates(spark, sf):
 @query
 def sentence_split(spark, sf):
     s = X.sentences(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars_kept"))
+    return table(spark, sf, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars_kept"), F.md5(F.array_join(s, "\n")).alias("sentences_md5"))
 
 
 @query
@@ -88,13 +95,14 @@ def section_detect(spark, sf):
 @query
 def clause_split(spark, sf):
     t = table(spark, sf, "conversations")
-    return t.select("conv_id", "turn", F.size(X.clauses(F.col("text"))).alias("n_clauses"))
+    c = X.clauses(F.col("text"))
+    return t.select("conv_id", "turn", F.size(c).alias("n_clauses"), F.md5(F.array_join(c, "\n")).alias("clauses_md5"))
 
 
 @query
 def normalize_tokens(spark, sf):
     tokens = X.tokenize(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"))
+    return table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
 
 
 @query
@@ -117,15 +125,15 @@ def page_sections(spark, sf):
 
 @query
 def pattern_entities(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.explode(X.pattern_entities(F.col("text"), patterns={k: v for k, v in L.ENTITY_PATTERNS.items() if k != "PERSON/ORG"})).alias("entity"))
+    found = table(spark, sf, "documents").select("doc_id", F.explode(X.pattern_entities(F.col("text"))).alias("entity"))
     return found.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def person_entities(spark, sf):
-    text = F.translate(F.col("text"), "éèêçíóñáäöüßÉÈÊÇÍÓÑÁÄÖÜ", "eeecionaaousEEECIONAAOU")
-    found = table(spark, sf, "benchmark").select("item_id", F.explode(X.pattern_entities(text, patterns={"PERSON/ORG": L.ENTITY_PATTERNS["PERSON/ORG"]})).alias("entity"))
-    return found.groupBy("item_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    """Names by their capitals."""
+    found = table(spark, sf, "documents").select("doc_id", F.explode(X.pattern_entities(F.col("text"), False, {"PERSON/ORG": L.ENTITY_PATTERNS["PERSON/ORG"]})).alias("entity"))
+    return found.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -163,7 +171,7 @@ def em_f1(spark, sf):
 
 @query
 def f1_fallback(spark, sf):
-    m = evaluation.f1_with_fallbacks(F.substring("pred", 1, 12), F.substring("gold", 1, 12))
+    m = evaluation.f1_with_fallbacks(F.col("pred"), F.col("gold"))
     return _answer_pairs(spark, sf).select("conv_id", "turn", *(F.round(m[c], 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -221,24 +229,24 @@ def knn_edges(spark, sf):
 
 @query
 def entity_edges(spark, sf):
-    return edges.resolve(edges.mention_pairs(edges.entity_mentions(_turns(spark, sf)), "entity", 1)).select("doc_id", "src", "dst", "type", "weight")
+    return edges.resolve(edges.mention_pairs(edges.entity_mentions(_sentences(spark, sf)), "entity", 1)).select("doc_id", "src", "dst", "type", "weight")
 
 
 @query
 def mention_edges(spark, sf):
-    _, e = edges.entity_node_edges(_turns(spark, sf))
+    _, e = edges.entity_node_edges(_sentences(spark, sf))
     return e.select("doc_id", "src", "dst", "type", "weight")
 
 
 @query
 def entity_relations(spark, sf):
-    return edges.entity_relations(_turns(spark, sf)).select("doc_id", "src", "dst", "type", "weight")
+    return edges.entity_relations(_sentences(spark, sf)).select("doc_id", "src", "dst", "type", "weight")
 
 
 @query
 def text_mentions(spark, sf):
     turns = _turns(spark, sf)
-    names = turns.filter("node_id = 0").select("doc_id", F.explode(F.slice("entities", 1, 3)).alias("name")).distinct()
+    names = turns.select("doc_id", F.explode("entities").alias("name")).distinct()
     return edges.text_mentions(turns, names)
 
 
@@ -259,20 +267,20 @@ def density(spark, sf):
 
 @query
 def pagerank_fixed(spark, sf):
-    return graphs.pagerank(_graph(spark, sf), iterations=10).select("graph", "node", F.round("pagerank", 6).alias("pagerank"))
+    return graphs.pagerank(_graph(spark, sf), iterations=20).select("graph", "node", F.round("pagerank", 6).alias("pagerank"))
 
 
 @query
 def khop(spark, sf):
     g = _graph(spark, sf)
-    return graphs.neighbourhood(g, graphs.nodes_of(g).filter(F.col("node") % 10 == 0), 2)
+    return graphs.neighbourhood(g, graphs.nodes_of(g), 2)
 
 
 @query
 def shortest_path_len(spark, sf):
     g = _graph(spark, sf)
-    pairs = graphs.nodes_of(g).filter(F.col("node") % 50 == 0).select("graph", F.col("node").alias("a")).join(graphs.nodes_of(g).filter(F.col("node") % 50 >= 40).select("graph", F.col("node").alias("b")), "graph")
-    return graphs.hop_distance(g, pairs, 4)
+    pairs = graphs.nodes_of(g).select("graph", F.col("node").alias("a")).join(graphs.nodes_of(g).select("graph", F.col("node").alias("b")), "graph")
+    return graphs.hop_distance(g, pairs)
 
 
 @query
@@ -284,7 +292,7 @@ def components(spark, sf):
 def traversal(spark, sf):
     g = _graph(spark, sf).withColumn("type", F.when(F.col("weight") > 0.15, "condition").otherwise("semantic"))
     centrality = graphs.degree(g).select("graph", "node", F.col("degree").cast("double").alias("centrality"))
-    return graphs.traverse(g, graphs.nodes_of(g).filter(F.col("node") % 10 == 0), centrality, L.TRAVERSABLE)
+    return graphs.traverse(g, graphs.nodes_of(g).filter(F.col("node") % 20 == 0), centrality, L.TRAVERSABLE)
 
 
 @query
@@ -299,7 +307,7 @@ def closeness(spark, sf):
 
 @query
 def eigenvector(spark, sf):
-    return graphs.eigenvector(_graph(spark, sf), 20)
+    return graphs.eigenvector(_graph(spark, sf))
 
 
 @query
@@ -310,13 +318,13 @@ def communities(spark, sf):
 @query
 def weighted_paths(spark, sf):
     g = _graph(spark, sf)
-    pairs = graphs.nodes_of(g).filter(F.col("node") % 50 == 0).select("graph", F.col("node").alias("a")).join(graphs.nodes_of(g).filter(F.col("node") % 50 >= 45).select("graph", F.col("node").alias("b")), "graph")
+    pairs = graphs.nodes_of(g).select("graph", F.col("node").alias("a")).join(graphs.nodes_of(g).select("graph", F.col("node").alias("b")), "graph")
     return graphs.weighted_paths(g, pairs)
 
 
 @query
 def span_centrality(spark, sf):
-    return graphs.span_centrality(_graph(spark, sf), 10)
+    return graphs.span_centrality(_graph(spark, sf))
 
 
 @query
@@ -373,7 +381,7 @@ def final_score(spark, sf):
     c = _candidates(spark, sf)
     rows = c.select("q_id", "span_id", "sem", F.col("lex").alias("bm25"), (F.col("overlap") / 5).alias("overlap"), (F.col("cent") / 13).alias("sentence"), (F.col("cent") / 26).alias("cent"), *(F.when(F.col("span_id") % m == 0, 1.0).otherwise(0.0).alias(f"in_{n}") for n, m in (("hybrid", 2), ("traversal", 3), ("expansion", 5), ("kg", 7))), (F.col("span_id") % 4).alias("kg_hits"))
     scored = retrieval.final_scores(rows)
-    return scored.select("q_id", "span_id", "score", retrieval.relevant(F.col("score"), F.round(F.col("overlap") * 5).cast("int"), F.col("span_id") % 2 == 0).alias("relevant"))
+    return scored.select("q_id", "span_id", "score", retrieval.relevant(F.col("score"), F.round(F.col("overlap") * 5).cast("int"), F.col("sentence")).alias("relevant"))
 
 
 @query
@@ -385,7 +393,7 @@ def expansions(spark, sf):
 
 @query
 def answer_rank(spark, sf):
-    c = _candidates(spark, sf).select("q_id", "span_id", "sentence_id", F.substring("text", 1, 400).alias("text"), F.when(F.col("span_id") % 2 == 0, "sentence").otherwise("clause").alias("span_type"), "sem", "lex")
+    c = _candidates(spark, sf).select("q_id", "span_id", "sentence_id", "text", F.when(F.col("span_id") % 2 == 0, "sentence").otherwise("clause").alias("span_type"), "sem", "lex")
     rows = c.withColumns({"score": F.col("sem"), "pos": F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("lex"), "span_id")), "query": F.array(F.lit("the"), F.lit("andxx"), F.lit("menteau"))})
     return answers.rank_answers(rows).select("q_id", "span_id", "answer_score", "rank")
 
@@ -446,12 +454,12 @@ def comparison_refine(spark, sf):
     q = _questions(spark, sf).withColumns({"s": questions.comparison_sides(F.col("question")), "kind": questions.comparison_type(F.col("question"))})
     docs = table(spark, sf, "benchmark")
     rows = q.join(docs, "item_id").withColumns({"e1": F.array("text"), "e2": F.array(F.reverse("text")), "facts": F.array("text")})
-    return rows.select("item_id", "form", comparison.refine(F.col("question"), F.col("kind"), F.substring("text", 1, 8), F.col("s.first"), F.col("s.second"), F.col("facts"), F.col("e1"), F.col("e2")).alias("answer"))
+    return rows.select("item_id", "form", comparison.refine(F.col("question"), F.col("kind"), F.col("text"), F.col("s.first"), F.col("s.second"), F.col("facts"), F.col("e1"), F.col("e2")).alias("answer"))
 
 
 def _triples(spark, sf):
-    turns = _turns(spark, sf).withColumn("entities", F.transform("entities", lambda e: F.concat(F.when(F.length(e) % 2 == 0, "even:").otherwise("odd:"), e)))
-    return knowledge.valid_triples(knowledge.related_triples(turns))
+    rows = _sentences(spark, sf).withColumn("entities", F.transform("entities", lambda e: F.concat(F.when(F.length(e) % 2 == 0, "even:").otherwise("odd:"), e)))
+    return knowledge.valid_triples(knowledge.related_triples(rows))
 
 
 @query
@@ -472,30 +480,29 @@ def kg_stats(spark, sf):
 
 @query
 def kg_facts(spark, sf):
-    t = _triples(spark, sf)
-    e = knowledge.kg_edges(t)
-    starts = e.groupBy("doc_id").agg(F.min("src").alias("start"))
+    e = cut(knowledge.kg_edges(_triples(spark, sf)))
+    starts = e.select("doc_id", F.col("src").alias("start")).distinct()
     return knowledge.entity_facts(e, starts).select("doc_id", "start", F.array_join("facts", " | ").alias("facts"))
 
 
 @query
 def kg_paths(spark, sf):
-    e = knowledge.kg_edges(_triples(spark, sf))
-    pairs = e.groupBy("doc_id").agg(F.min("src").alias("a"), F.max("dst").alias("b"))
+    e = cut(knowledge.kg_edges(_triples(spark, sf)))
+    pairs = e.select("doc_id", F.col("src").alias("a")).distinct().join(e.groupBy("doc_id").agg(F.max("dst").alias("b")), "doc_id")
     return knowledge.bridge_entities(knowledge.path_evidence(e, pairs)).select("doc_id", "a", "b", F.size("nodes").alias("n_nodes"), F.array_join("steps", " | ").alias("steps"))
 
 
 @query
 def kg_chains(spark, sf):
-    e = knowledge.kg_edges(_triples(spark, sf))
-    starts = e.groupBy("doc_id").agg(F.min("src").alias("name")).select(F.col("doc_id").alias("q_id"), "doc_id", "name")
+    e = cut(knowledge.kg_edges(_triples(spark, sf)))
+    starts = e.select(F.col("doc_id").alias("q_id"), "doc_id", F.col("src").alias("name")).distinct()
     ends = e.select(F.col("doc_id").alias("q_id"), "doc_id", F.col("dst").alias("name")).distinct()
     return retrieval.kg_chains(starts, ends, e).select("q_id", "text", F.round("score", 6).alias("score"))
 
 
 @query
 def kg_communities(spark, sf):
-    return knowledge.kg_metrics(knowledge.kg_edges(_triples(spark, sf)), 20)
+    return knowledge.kg_metrics(knowledge.kg_edges(_triples(spark, sf)))
 
 
 @query
