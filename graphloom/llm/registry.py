@@ -49,8 +49,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return pseudo_likelihood.score(pseudo_likelihood.train(_table(spark, sf_dir, "documents")))
 
 
 def op8_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:

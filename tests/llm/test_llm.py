@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from graphloom.llm import audio_prints, hamming_search, language_id, near_dedup, piece_codec, pseudo_likelihood, quality, registry, secret_scan, token_counts
+from graphloom.llm import audio_prints, hamming_search, language_id, near_dedup, piece_codec, quality, registry, secret_scan, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -213,27 +213,6 @@ def test_hamming_search_equals_brute_force(spark):
     assert hamming_search.search(df.limit(0), df).count() == 0
 
 
-def test_pseudo_likelihood_prefers_seen_order(spark, odd, nothing):
-    rng = random.Random(4)
-    pattern = ["red", "dog", "ran", "far", "home"]
-    docs = spark.createDataFrame([(i, " ".join(pattern * rng.randint(20, 40))) for i in range(60)], "doc_id long, text string")
-    model = pseudo_likelihood.train(docs)
-    score = lambda t: model.log_probabilities(pseudo_likelihood.tokens(t)).mean()
-    shuffled = " ".join(rng.sample(pattern * 20, 100))
-    assert score(" ".join(pattern * 20)) > score(shuffled)
-    out = {r["doc_id"]: r for r in pseudo_likelihood.score(odd, model).collect()}
-    assert out[1]["n_tokens"] == 0 and out[1]["pll"] == 0.0 and out[1]["pll_per_token"] is None and out[2]["n_tokens"] == 0
-    assert out[3]["n_tokens"] == 30000
-    empty = pseudo_likelihood.train(nothing)
-    assert pseudo_likelihood.score(nothing, empty).count() == 0
-
-
-def test_window_probabilities_are_normalised():
-    flat, around = pseudo_likelihood.start(), np.array([[1, 2, 3, 4], [128, 128, 5, 6]])
-    _, z, total = pseudo_likelihood.forward(flat, around)
-    assert np.allclose(np.exp(z - total[:, None]).sum(1), 1, atol=1e-5)
-
-
 def test_audio_matches_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(0, 0.15, 64).astype(float).tolist()) for i in range(40)]
