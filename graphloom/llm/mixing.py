@@ -52,9 +52,10 @@ def topic_of(text: Column, words: list[str]) -> Column:
     """The word of the list that the text has most often, the earlier in a tie; `other` without any, `empty` for null and empty texts."""
     if not words:
         return F.when(text.isNull() | (F.length(text) == 0), "empty").otherwise("other")
-    found = F.filter(long_words(text), lambda w: w.isin(words))
-    votes = F.transform(F.array(*map(F.lit, words)), lambda w, k: F.struct(F.size(F.filter(found, lambda x: x == w)).alias("n"), (-k).alias("k"), w.alias("w")))
-    return F.when(text.isNull() | (F.length(text) == 0), "empty").when(F.size(found) == 0, "other").otherwise(F.array_max(votes)["w"])
+    found = F.array(F.struct(F.filter(long_words(text), lambda w: w.isin(words)).alias("f")))  # one element: computed once
+    votes = lambda f: F.transform(F.array(*map(F.lit, words)), lambda w, k: F.struct(F.size(F.filter(f, lambda x: x == w)).alias("n"), (-k).alias("k"), w.alias("w")))
+    best = F.get(F.transform(found, lambda r: F.when(F.size(r["f"]) == 0, "other").otherwise(F.array_max(votes(r["f"]))["w"])), F.lit(0))
+    return F.when(text.isNull() | (F.length(text) == 0), "empty").otherwise(best)
 
 
 def _cell_columns(docs: DataFrame, text_col: str, topic_col: str | None) -> dict[str, Column]:
