@@ -3,8 +3,12 @@
 A text is lower-cased and its bytes other than letters become spaces; every run of 3 or 4 bytes inside a word
 and its borders is hashed to one of BUCKETS embeddings; the average embedding goes through a linear softmax.
 Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded, hash-ordered sample
-of labelled rows for each language (PER_LANGUAGE rows at most). A fifth of the sample isn't trained on: it
-sets the temperature of the probabilities and the rejection threshold, below which a prediction is rejected.
+of labelled rows for each language (PER_LANGUAGE rows at most). A fifth of the sample isn't trained on: whole texts
+and excerpts of them of EXCERPTS characters set the temperature, which falls with the number of subwords, and for each
+class of lengths two bounds of rejection. A prediction is rejected if its probability is below the lowest at which at
+most ERROR of the held-out predictions are wrong, or if a smaller share of its subwords is known from the trained texts
+than SPARE times what the least familiar held-out text lacked allows: the one for texts too short to tell, the other for
+languages that weren't learned and for strings that aren't language. Both hold for any number of languages.
 Because the model is linear after averaging, executors get one table of BUCKETS x languages: its size doesn't
 grow with the corpus.
 """
@@ -24,8 +28,10 @@ from graphloom.llm.common import bucket_of_id, prepare
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (3, 4)
 PER_LANGUAGE, EPOCHS, RATE = 500, 12, 4.0
-#: Of correctly predicted calibration rows, the share that the threshold may reject, and its ceiling.
-REJECT, CEILING = 0.0, 0.35
+#: Lengths of the calibration excerpts, and the subword counts from which on the classes of length begin.
+EXCERPTS, CLASSES = (4, 12, 40, 160, 600), (0, 24, 96, 384)
+#: Wrong predictions tolerated among those that aren't rejected; what familiarity may fall short of, times the worst held-out text; the highest bound of probability.
+ERROR, SPARE, CEILING = 0.1, 2.5, 0.95
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 _KEEP = np.full(256, 32, np.uint32)
@@ -56,24 +62,36 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def length_class(n: int) -> int:
+    return sum(n >= c for c in CLASSES) - 1
+
+
 @dataclass
 class LanguageModel:
-    """What prediction needs: logits of each bucket, languages, temperature, threshold."""
+    """What prediction needs: logits of each bucket, which buckets are known, languages, sharpness by length, bounds by class of length."""
 
     table: np.ndarray
+    known: np.ndarray
     languages: list[str]
-    temperature: float
-    threshold: float
+    sharpness: tuple[float, float]
+    least_sure: list[float]
+    least_known: list[float]
+
+    def probabilities(self, logits: np.ndarray, n) -> np.ndarray:
+        """Calibrated probabilities of mean logits over n subwords."""
+        scale, power = self.sharpness
+        return _softmax(logits * scale * np.maximum(n, 1.0) ** power)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, calibrated probability, whether it is rejected; `und`, 0 and rejected where no letter is."""
+        """Language (of equal ones the first by name), calibrated probability, whether it is rejected; `und`, 0 and rejected where no letter is."""
         if not text or not LETTER.search(text) or not self.languages:
             return UNDETERMINED, 0.0, True
         found = subwords(text)
-        logits = self.table[found].mean(0, dtype=np.float64) if len(found) else np.zeros(len(self.languages))
-        p = _softmax(logits / self.temperature)
-        best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
+        n = len(found)
+        p = self.probabilities(self.table[found].mean(0, dtype=np.float64) if n else np.zeros(len(self.languages)), n)
+        best, k = int(p.argmax()), length_class(n)
+        unknown = not n or self.known[found].mean() < self.least_known[k]
+        return self.languages[best], float(p[best]), bool(p[best] < self.least_sure[k] or unknown)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -81,18 +99,21 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> LanguageModel:
-    """rows: distinct buckets, their counts and the language of each labelled text, in a fixed order."""
-    rows = [r for r in rows if len(r[0])]
-    languages = sorted({r[2] for r in rows})
+Row = tuple[np.ndarray, np.ndarray, str]
+
+
+def train(rows: list[tuple[Row, list[Row]]], seed: int = 7) -> LanguageModel:
+    """rows: distinct buckets, their counts and the language of each labelled text and of its excerpts, in a fixed order."""
+    rows = [r for r in rows if len(r[0][0])]
+    languages = sorted({r[0][2] for r in rows})
     k = len(languages)
     if not k:
-        return LanguageModel(np.zeros((BUCKETS, 0), np.float32), [], 1.0, 0.0)
+        return LanguageModel(np.zeros((BUCKETS, 0), np.float32), np.zeros(BUCKETS, bool), [], (1.0, 0.0), [0.0] * len(CLASSES), [0.0] * len(CLASSES))
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     weight = np.zeros((DIM, k))
-    data = [(i, c / c.sum(), languages.index(lang)) for i, c, lang in rows]
-    fit, rest = [x for n, x in enumerate(data) if n % 5 != 4], [x for n, x in enumerate(data) if n % 5 == 4] or data
+    fit = [(i, c / c.sum(), languages.index(lang)) for n, ((i, c, lang), _) in enumerate(rows) if n % 5 != 4]
+    held = [r for n, (whole, parts) in enumerate(rows) if n % 5 == 4 for r in (whole, *parts) if len(r[0])] or [r[0] for r in rows]
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for n in rng.permutation(len(fit)):
@@ -105,42 +126,77 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Lang
             back = weight @ g
             weight -= rate * np.outer(mean, g)
             embed[index] -= rate * share[:, None] * back
-    table = embed @ weight
-    logits = np.array([share @ table[index] for index, share, _ in rest])
-    truth = np.array([y for *_, y in rest])
-    # targets short of certainty by one row's share keep the temperature finite where no row is wrong
+    table, known = embed @ weight, np.zeros(BUCKETS, bool)
+    for index, *_ in fit:
+        known[index] = True
+    model = LanguageModel(table.astype(np.float32), known, languages, (1.0, 0.0), [], [])
+    calibrate(model, held)
+    return model
+
+
+def calibrate(model: LanguageModel, held: list[Row]) -> None:
+    """Sets sharpness and bounds by texts that the model wasn't trained on."""
+    logits = np.array([c @ model.table[i] / c.sum() for i, c, _ in held], np.float64)
+    sizes, truth = np.array([c.sum() for _, c, _ in held]), np.array([model.languages.index(lang) for *_, lang in held])
+    familiar = np.array([c @ model.known[i] / c.sum() for i, c, _ in held])
+    k = len(model.languages)
+    # targets short of certainty by one row's share keep the sharpness finite where no row is wrong
     target = np.full(logits.shape, 1 / (len(truth) + 2) / k)
     target[np.arange(len(truth)), truth] += 1 - 1 / (len(truth) + 2)
-    loss = lambda t: -(target * np.log(_softmax(logits / t) + 1e-12)).sum(1).mean()
-    temperature = min(np.geomspace(0.02, 20, 121), key=loss)
-    p = _softmax(logits / temperature)
-    sure = p.max(1)[p.argmax(1) == truth]
-    # half the odds of the least sure correct row, so that rows like the labelled ones pass
-    low = float(np.quantile(sure, REJECT)) if len(sure) else 0.0
-    threshold = min(CEILING, low / (low + 2 * (1 - low))) if low < 1 else CEILING
-    return LanguageModel(table.astype(np.float32), languages, float(temperature), max(threshold, min(1.0 / k + 0.02, CEILING) if k > 1 else 0.0))
-
-
-def labelled_sample(docs: DataFrame, learn: Column | None, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Subword counts of at most per_language labelled rows a language, first by a hash of the id. Texts stay on the executors."""
+
+    def loss(sharpness: tuple[float, float]) -> float:
+        model.sharpness = sharpness
+        return -(target * np.log(model.probabilities(logits, sizes[:, None]) + 1e-12)).sum(1).mean()
+
+    model.sharpness = min(((a, b) for b in (0.0, 0.25, 0.5, 0.75, 1.0) for a in np.geomspace(0.01, 50, 80).tolist()), key=loss)
+    p = model.probabilities(logits, sizes[:, None])
+    sure, right = p.max(1), p.argmax(1) == truth
+    classes = np.array([length_class(n) for n in sizes])
+    model.least_sure, model.least_known = [], []
+    for c in range(len(CLASSES)):
+        of = classes == c if (classes == c).sum() >= 20 else np.ones(len(classes), bool)
+        order = np.argsort(-sure[of], kind="stable")
+        wrong = np.cumsum(~right[of][order]) / np.arange(1, of.sum() + 1)
+        some = np.nonzero(wrong <= ERROR)[0]
+        bound = float(sure[of][order][some[-1]]) if len(some) and some[-1] < of.sum() - 1 else 0.0 if len(some) else CEILING
+        model.least_sure.append(min(CEILING, bound))
+        model.least_known.append(max(0.0, 1 - SPARE * (1 - float(familiar[of].min()))))
+
+
+def labelled_sample(docs: DataFrame, learn: Column | None, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[Row, list[Row]]]:
+    """Subword counts of at most per_language labelled rows a language and of their excerpts, first by a hash of the id. Texts stay on the executors.
+
+    Of a language with more rows, those with a hash under a bound that some twice per_language rows meet are ranked: no
+    task gets all rows of a language.
+    """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = base.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (learn if learn is not None else F.lit(True)))
+    draw = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5  # from 0 to 1, in the order of the hash
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.count(F.lit(1))).alias("share"))
+    drawn = rows.select("doc_id", "lang").join(share, "lang").filter(draw <= F.col("share"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    chosen = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("doc_id", "lang").distinct()
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # bounded: per_language rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, count = [], []
-            for t in batch.column(2):
-                i, c = np.unique(subwords(t.as_py()), return_counts=True)
-                index.append(i.astype(np.int32))
-                count.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], ["lang", "doc_id", "buckets", "counts"])
-
-    got = texts.mapInArrow(run, "lang string, doc_id long, buckets array<int>, counts array<int>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda n: (int(got["doc_id"][n].as_py()) * 2654435761 % 2**32, got["lang"][n].as_py()))
-    return [(np.asarray(got["buckets"][n].values), np.asarray(got["counts"][n].values, np.float64), got["lang"][n].as_py()) for n in order]
+            for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                starts = [(n, (i or 0) * 2654435761 % max(1, len(t) - n)) for n in EXCERPTS if n < len(t)]
+                got = [np.unique(subwords(x), return_counts=True) for x in (t, *(t[at : at + n] for n, at in starts))]
+                index.append([g[0].astype(np.int32) for g in got])
+                count.append([g[1].astype(np.int32) for g in got])
+            kind = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, kind), pa.array(count, kind)], ["lang", "doc_id", "buckets", "counts"])
+
+    got = texts.mapInArrow(run, "lang string, doc_id long, buckets array<array<int>>, counts array<array<int>>").toArrow()
+    order = sorted(range(got.num_rows), key=lambda n: (int(got["doc_id"][n].as_py() or 0) * 2654435761 % 2**32, got["lang"][n].as_py()))
+    out = []
+    for n in order:
+        lang = got["lang"][n].as_py()
+        parts = [(np.asarray(b.values, np.int64), np.asarray(c.values, np.float64), lang) for b, c in zip(got["buckets"][n], got["counts"][n], strict=True)]
+        out.append((parts[0], parts[1:]))
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
