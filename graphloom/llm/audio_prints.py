@@ -7,9 +7,12 @@ for each position. Two recordings are aligned by the histogram of offsets at whi
 at the offset with most votes, the share of differing bits over the whole overlap says how alike they are.
 
 A recording matches a query if at least MIN_VOTES integers are equal at the best offset and at most MAX_ERROR of
-the overlap's bits differ. The search is complete: every query meets every distinct fingerprint, in blocks of
-bounded size, and no frequent integer is left out. Recordings with equal fingerprints are one class, named by its
-smallest id, and so are clips; every match counts, as a row between two classes, so groups of copies don't multiply.
+the overlap's bits differ. Votes come from an inverted index: runs of one integer (value, recording, position, length)
+of recordings and clips meet by value, in an equi-join whose skewed values Spark splits, and no frequent integer is
+left out. Two runs vote for a trapezoid of offsets, given by the four places where its slope changes, so a
+long note or silence against another is four rows, not a square; the slopes' running sums are the histogram.
+Recordings with equal fingerprints are one class, named by its smallest id, and so are clips; every match counts, as a
+row between two classes, so groups of copies don't multiply.
 """
 
 from __future__ import annotations
@@ -18,19 +21,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import kept, prepare
+from graphloom.llm.common import prepare, stored
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 128, 12
 LOW_HZ, HIGH_HZ = 60.0, 1900.0
 MIN_VOTES, MAX_ERROR = 4, 0.25
-#: A clip has all its matches, whatever their number.
-TOP = None
-ENTRY_BLOCK, QUERY_BLOCK = 20_000, 1000
+#: Frames transformed at once.
+FRAMES = 4096
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -60,9 +61,9 @@ def chroma(pcm: np.ndarray) -> np.ndarray:
     """Pitch-class energies of each frame, each frame at unit sum; silent frames are even."""
     if len(pcm) < FRAME:
         return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP] * _HANN
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    energy = power.astype(np.float32) @ _MAP
+    views = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP]
+    power = lambda frames: np.abs(np.fft.rfft(frames * _HANN, axis=1)) ** 2
+    energy = np.concatenate([power(views[at : at + FRAMES]).astype(np.float32) @ _MAP for at in range(0, len(views), FRAMES)])
     total = energy.sum(1, keepdims=True)
     return np.where(total > 1e-6, energy / np.maximum(total, 1e-6), 1 / 12).astype(np.float32)
 
@@ -106,20 +107,6 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float] | None:
-    """Offset of the other against the query, votes and bit error rate; None without a common integer.
-
-    Of offsets with equal votes the one with fewer errors counts, then the smaller distance, then the smaller offset.
-    """
-    i, j = np.nonzero(query[:, None] == other[None, :])
-    if not len(i):
-        return None
-    offsets, votes = np.unique(j - i, return_counts=True)
-    most = int(votes.max())
-    best = min((bit_errors(query, other, int(o)), abs(int(o)), int(o)) for o in offsets[votes == most])
-    return best[2], most, best[0]
-
-
 def bit_errors(query: np.ndarray, other: np.ndarray, offset: int) -> float:
     """Share of differing bits where the two overlap at the offset."""
     a, b = query[max(0, -offset) :], other[max(0, offset) :]
@@ -147,53 +134,67 @@ def fingerprints(media: DataFrame, id_col: str = "media_id", audio_col: str = "a
     return media.select(media[id_col].cast("long").alias("media_id"), media[audio_col].cast("binary").alias("audio")).mapInArrow(run, "media_id long, codes array<long>, fp_sha256 string")
 
 
-def _align_block(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(entries) and len(queries):
-        prints = [np.asarray(c, np.uint32) for c in entries["codes"]]
-        sizes = np.array([len(p) for p in prints])
-        values, owner, frame = np.concatenate(prints), np.repeat(np.arange(len(prints)), sizes), np.concatenate([np.arange(s) for s in sizes])
-        order = np.argsort(values, kind="stable")
-        values, owner, frame = values[order], owner[order], frame[order]
-        longest, names = int(sizes.max()) + 1, entries["class_id"].tolist()
-        for name, codes in zip(queries["clip_class"], queries["codes"], strict=True):
-            q = np.asarray(codes, np.uint32)
-            starts, ends = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
-            n = ends - starts
-            if not n.sum():
-                continue
-            at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shift = frame[at] - np.repeat(np.arange(len(q)), n)
-            width = longest + len(q)
-            keys, votes = np.unique(owner[at] * width + shift + len(q), return_counts=True)
-            rec = keys // width
-            # an entry whose best offset has too few votes is no match
-            for e in np.unique(rec[votes >= MIN_VOTES]).tolist():
-                offset, v, error = align(q, prints[e])
-                if error <= MAX_ERROR:
-                    out.append((name, names[e], offset, v, error))
-    pdf = pd.DataFrame(out, columns=["clip_class", "class_id", "offset", "votes", "error"])
-    return pdf.astype({"clip_class": "int64", "class_id": "int64", "offset": "int32", "votes": "int32", "error": "float64"})
+def _runs(classes: DataFrame, name: str) -> DataFrame:
+    """value, name, start, length of each run of one integer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = codes.values.to_numpy()
+                starts = np.concatenate([[0], np.nonzero(values[1:] != values[:-1])[0] + 1])
+                lengths = np.diff(np.append(starts, len(values)))
+                yield pa.RecordBatch.from_arrays([pa.array(values[starts]), pa.array(np.full(len(starts), owner)), pa.array(starts.astype(np.int64)), pa.array(lengths.astype(np.int64))], ["value", name, "start", "length"])
+
+    return classes.select(name, "codes").mapInArrow(run, f"value long, {name} long, start long, length long")
+
+
+def _offsets(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """clip_class, class_id, offset, votes of the offsets with most votes, MIN_VOTES or more; of a plateau its two ends."""
+    a = _runs(queries, "clip_class").withColumnsRenamed({"start": "s1", "length": "l1"})
+    b = _runs(entries, "class_id").withColumnsRenamed({"start": "s2", "length": "l2"})
+    at = F.col("s2") - F.col("s1") + 1
+    turns = ((at - F.col("l1"), 1), (at, -1), (at + F.col("l2") - F.col("l1"), -1), (at + F.col("l2"), 1))
+    events = a.join(b, "value").select("clip_class", "class_id", F.explode(F.array(*(F.struct(o.alias("offset"), F.lit(d).alias("turn")) for o, d in turns))).alias("e"))
+    slopes = events.groupBy("clip_class", "class_id", "e.offset").agg(F.sum("e.turn").alias("turn")).filter("turn <> 0")
+    pair = Window.partitionBy("clip_class", "class_id").orderBy("offset")
+    so_far = pair.rowsBetween(Window.unboundedPreceding, 0)
+    lines = slopes.withColumns({"slope": F.sum("turn").over(so_far), "until": F.lead("offset").over(pair) - 1})
+    # a stretch begins one step up its slope from where the last one ended
+    lines = lines.withColumn("rise", F.col("slope") * (F.coalesce("until", "offset") - F.col("offset") + 1))
+    lines = lines.withColumn("end", F.sum("rise").over(so_far))
+    ends = lines.select("clip_class", "class_id", F.explode(F.array(F.struct("offset", (F.col("end") - F.col("rise") + F.col("slope")).alias("votes")), F.struct(F.coalesce("until", "offset").alias("offset"), F.col("end").alias("votes")))).alias("v")).select("clip_class", "class_id", "v.*").filter(F.col("votes") >= MIN_VOTES)
+    most = Window.partitionBy("clip_class", "class_id").orderBy(F.desc("votes"))
+    return ends.distinct().withColumn("n", F.rank().over(most)).filter("n = 1").drop("n")
+
+
+def _matches(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """clip_class, class_id, offset, votes, error of every match; of offsets with equal votes the one with fewer errors, then the nearer, then the smaller."""
+    rows = _offsets(entries, queries).join(queries.select("clip_class", F.col("codes").alias("q")), "clip_class").join(entries.select("class_id", F.col("codes").alias("e")), "class_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            error = [bit_errors(q.values.to_numpy().astype(np.uint32), e.values.to_numpy().astype(np.uint32), o) for o, q, e in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(error, pa.float64())], ["clip_class", "class_id", "offset", "votes", "error"])
+
+    found = rows.select("clip_class", "class_id", "offset", "votes", "q", "e").mapInArrow(run, "clip_class long, class_id long, offset long, votes long, error double")
+    best = found.groupBy("clip_class", "class_id").agg(F.min(F.struct("error", F.abs("offset").alias("far"), "offset", "votes")).alias("b"))
+    return best.select("clip_class", "class_id", F.col("b.offset").cast("int").alias("offset"), F.col("b.votes").cast("int").alias("votes"), "b.error").filter(F.col("error") <= MAX_ERROR)
 
 
 def _classes(prints: DataFrame, name: str) -> DataFrame:
     """fp_sha256, the smallest id with it and the codes, of the rows with an id and codes."""
     some = prints.filter((F.size("codes") > 0) & F.col("media_id").isNotNull())
-    return kept(some.groupBy("fp_sha256").agg(F.min("media_id").alias(name), F.min("codes").alias("codes")))
+    return stored(some.groupBy("fp_sha256").agg(F.min("media_id").alias(name), F.min("codes").alias("codes")))
 
 
 def _aligned(prints: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The recordings, one clip an id, the recordings' classes, and every match between classes; all computed once."""
     prepare(prints.sparkSession)
-    prints = kept(prints.select("media_id", "codes", "fp_sha256"))
+    prints = stored(prints.select("media_id", "codes", "fp_sha256"))
     asked = clips.filter(F.col("media_id").isNotNull()).groupBy("media_id").agg(F.min(F.struct("fp_sha256", "codes")).alias("c"))
-    asked = kept(asked.select("media_id", "c.fp_sha256", "c.codes"))
+    asked = stored(asked.select("media_id", "c.fp_sha256", "c.codes"))
     entries, queries = _classes(prints, "class_id"), _classes(asked, "clip_class")
-    n_entry, n_query = max(1, -(-entries.count() // ENTRY_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    left = entries.select("class_id", "codes", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_entry)).alias("eb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
-    right = queries.select("clip_class", "codes", F.pmod(F.xxhash64("fp_sha256"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_entry - 1).cast("long"))).alias("eb"))
-    found = left.groupBy("eb", "qb").cogroup(right.groupBy("eb", "qb")).applyInPandas(_align_block, "clip_class long, class_id long, offset int, votes int, error double")
-    return prints, asked.join(queries.select("fp_sha256", "clip_class"), "fp_sha256", "left"), entries.select("fp_sha256", "class_id"), kept(found)
+    return prints, asked.join(queries.select("fp_sha256", "clip_class"), "fp_sha256", "left"), entries.select("fp_sha256", "class_id"), stored(_matches(entries, queries), "matches")
 
 
 def match_classes(prints: DataFrame, clips: DataFrame) -> DataFrame:

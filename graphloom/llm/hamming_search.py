@@ -1,32 +1,32 @@
 """Exact top-k search over 64-bit binary codes by incremental multi-index hashing.
 
-A code is cut into SEGMENTS segments, each with a table from segment value to codes. For a query, radius 0, 1,
-2, ... in every segment at once: codes whose segment differs from the query's in exactly that many bits are
-looked up and verified by their full Hamming distance. A code within SEGMENTS * (radius + 1) - 1 bits differs by
-at most `radius` bits in some segment, so once k verified rows lie within that bound, the answer, ties included,
-is proven complete and the search of that query ends.
-
-Equal codes are one entry with its k smallest ids: no further id of it can be in an answer that orders by
-distance and id. Equal query codes are searched once. Entries and queries are dealt into blocks of bounded
-size by hash; every block of queries meets every block of entries in one task, and the blocks' answers are
-merged by rank. No row waits for all rows of another kind.
+A code is cut into SEGMENTS segments; the index is a table of every entry under each of its segment values. For a
+query, radius 0, 1, 2, ... in every segment at once: codes whose segment differs from the query's in exactly that
+many bits are looked up and verified by their full Hamming distance. A code within SEGMENTS * (radius + 1) - 1 bits
+differs by at most `radius` bits in some segment, so once k verified ids lie within that bound, the answer, ties
+included, is proven complete and that query is asked no further.
+
+The index is dealt by segment and value. In a round each unproven query sends one row for each segment value at the
+round's radius that the index has at all (a bitmap of SEGMENTS * 2 ** WIDTH bits tells), and meets the entries there by
+an equi-join, whose skewed values Spark splits. A pair is taken in its nearest segment only, so it is verified once; of
+a query's candidates k entries go on, those first by distance and id. Equal codes are one entry with its k smallest ids,
+as no further id of it can be in an answer in that order, and equal query codes are searched once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import kept, prepare
+from graphloom.llm.common import discard, prepare, stored
 
 SEGMENTS, WIDTH = 4, 16
-ENTRY_BLOCK, QUERY_BLOCK = 1 << 18, 1 << 13
-_VALUES = np.arange(1 << WIDTH, dtype=np.uint32)
+_VALUES = np.arange(1 << WIDTH, dtype=np.int64)
 _ONES = np.bitwise_count(_VALUES)
-#: All segment differences of each number of bits.
-MASKS = [_VALUES[_ONES == r] for r in range(WIDTH + 1)]
 
 
 def sign_code(vector: str) -> Column:
@@ -34,88 +34,67 @@ def sign_code(vector: str) -> Column:
     return F.expr(f"aggregate(transform(slice({vector}, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
 
 
-class MultiIndex:
-    """Tables over one block of distinct codes, each with so many ids."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray):
-        self.codes, self.weights = codes.view(np.uint64), weights
-        self.order, self.starts = [], []
-        for s in range(SEGMENTS):
-            part = self.segment(self.codes, s)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << WIDTH))]))
-
-    @staticmethod
-    def segment(codes, s: int):
-        return ((codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint32)
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of all entries within the distance at which k ids are proven."""
-        seen = np.zeros(len(self.codes), bool)
-        where, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for r in range(WIDTH + 1):
-            found = []
-            for s in range(SEGMENTS):
-                keys = self.segment(query, s) ^ MASKS[r]
-                starts = self.starts[s][keys]
-                sizes = self.starts[s][keys + 1] - starts
-                some = sizes > 0
-                starts, sizes = starts[some], sizes[some]
-                if len(starts):
-                    ends = np.cumsum(sizes)
-                    found.append(self.order[s][np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])])
-            if found:
-                new = np.unique(np.concatenate(found))
-                new = new[~seen[new]]
-                seen[new] = True
-                where = np.concatenate([where, new])
-                distance = np.concatenate([distance, np.bitwise_count(self.codes[new] ^ query).astype(np.int64)])
-            near = distance <= SEGMENTS * (r + 1) - 1
-            if self.weights[where[near]].sum() >= k or len(where) == len(self.codes):
-                break
-        return where, distance
-
-
-def _search_block(k: int):
-    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(entries) and len(queries):
-            ids = entries["ids"].to_list()
-            index = MultiIndex(entries["code"].to_numpy(np.int64).copy(), np.array([len(i) for i in ids]))
-            for code in queries["code"].to_numpy(np.int64):
-                where, distance = index.search(np.int64(code).view(np.uint64), k)
-                # k entries suffice beyond those nearer than the k-th distance: cut before ids are unfolded
-                order = np.argsort(distance, kind="stable")
-                reach = np.cumsum(index.weights[where[order]])
-                last = distance[order[min(int(np.searchsorted(reach, k)), len(order) - 1)]]
-                best = sorted((int(d), int(i)) for w, d in zip(where, distance, strict=True) if d <= last for i in ids[w])[:k]
-                out += [(code, i, d) for d, i in best]
-        return pd.DataFrame(out, columns=["code", "neighbor_id", "distance"]).astype({"code": "int64", "neighbor_id": "int64", "distance": "int32"})
-
-    return run
-
-
-def search(entries: DataFrame, queries: DataFrame, k: int = 10, entry_block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def segment(code: Column, s: int) -> Column:
+    return F.shiftrightunsigned(code, WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def _probes(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """query, segment, value: the index's values at the radius from each query's segments."""
+    held = np.zeros((SEGMENTS, 1 << WIDTH), bool)
+    for r in index.select("segment", "value").distinct().toArrow().to_batches():  # bounded: SEGMENTS * 2 ** WIDTH rows
+        held[r.column(0).to_numpy(), r.column(1).to_numpy()] = True
+    shared = queries.sparkSession.sparkContext.broadcast(held)
+    masks = _VALUES[_ONES == radius]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for code in batch.column(0).to_numpy():
+                for s in range(SEGMENTS):
+                    values = ((int(code) >> (WIDTH * s)) & ((1 << WIDTH) - 1)) ^ masks
+                    values = values[shared.value[s][values]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), code)), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query", "segment", "value"])
+
+    return queries.mapInArrow(run, "query long, segment int, value int")
+
+
+def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest entries of each query: query_id, rank (from 1), neighbor_id, distance.
 
     Both inputs have id and code (long). Order is by Hamming distance, then id; entries include the query's own
     row where it is one. Rows with a null id or code are neither entries nor answered; a query id given more
-    than once with one code is answered once; with fewer than k entries all are returned; an empty input gives
-    an empty table. Further columns are ignored.
+    than once with one code is answered once, with several codes once for each; with fewer than k entries all are
+    returned; an empty input gives an empty table. Further columns are ignored.
     """
     prepare(entries.sparkSession)
     rows = entries.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna().distinct()
     first = Window.partitionBy("code").orderBy("id")
-    grouped = kept(rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("code").agg(F.collect_list("id").alias("ids")))  # k ids a code at most
-    asked = kept(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("code")).dropna().distinct())
-    codes = kept(asked.select("code").distinct())
-    n_entry, n_query = max(1, -(-grouped.count() // entry_block)), max(1, -(-codes.count() // query_block))
-    left = grouped.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(n_entry)).alias("eb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
-    right = codes.select("code", F.pmod(F.xxhash64("code"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_entry - 1).cast("long"))).alias("eb"))
-    found = left.groupBy("eb", "qb").cogroup(right.groupBy("eb", "qb")).applyInPandas(_search_block(k), "code long, neighbor_id long, distance int")
-    order = Window.partitionBy("code").orderBy("distance", "neighbor_id")
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return asked.join(best, "code").select("query_id", "rank", "neighbor_id", "distance")
+    grouped = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k ids a code at most
+    grouped = stored(grouped, "codes")
+    asked = stored(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("code")).dropna().distinct(), "asked")
+    need = min(k, grouped.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    entry = grouped.select("code", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("low"))
+    index = stored(entry.select("code", "n", "low", F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)))).alias("s")).select("code", "n", "low", "s.segment", "s.value"), "index")
+    active = stored(asked.select(F.col("code").alias("query")).distinct(), "active")
+    best = stored(active.select("query", F.lit(0).cast("long").alias("code"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("low"), F.lit(0).alias("distance")).limit(0), "best")
+    apart = F.col("query").bitwiseXOR(F.col("code"))
+    near = [F.bit_count(segment(apart, s)) for s in range(SEGMENTS)]
+    nearest = F.array_position(F.array(*near), F.least(*near)) - 1  # the first of the nearest segments
+    ranked = Window.partitionBy("query").orderBy("distance", "low")
+    for radius in range(WIDTH + 1 if need else 0):
+        found = _probes(active, index, radius).join(index, ["segment", "value"]).filter((F.least(*near) == radius) & (nearest == F.col("segment")))
+        found = found.select("query", "code", "n", "low", F.bit_count(apart).cast("int").alias("distance"))
+        better = stored(best.unionByName(found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("rank"), "best")
+        proven = better.filter(F.col("distance") <= SEGMENTS * (radius + 1) - 1).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
+        left = stored(active.join(proven, "query", "left_anti"), "active")
+        discard(best, active)
+        best, active = better, left
+        if active.isEmpty():
+            break
+    discard(index, active)
+    ids = best.select("query", "code", "distance").join(grouped, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+    order = Window.partitionBy("query").orderBy("distance", "neighbor_id")
+    answers = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asked.join(answers, asked["code"] == answers["query"]).select("query_id", "rank", "neighbor_id", "distance")
 
 
 def oracle_sql(k: int = 10, every: int = 20) -> str:
