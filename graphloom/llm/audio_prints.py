@@ -3,12 +3,13 @@
 A recording (16-bit mono PCM in a binary column) becomes frames of energy in the 12 pitch classes. Over an
 integral image of the frames, 16 fixed rectangle filters compare neighbouring areas of time and pitch; each
 filter's log ratio is quantised to 2 bits in Gray code, and the 16 pairs are packed into one 32-bit integer
-for each position. Two recordings are aligned by the histogram of offsets at which they have equal integers;
-at the offset with most votes, the share of differing bits over the whole overlap says how alike they are.
+for each position. Two recordings are aligned by the histogram of offsets at which they have equal pairs of successive
+integers (single integers agree by chance, and such votes would grow with the square of a collection); at the offset with
+most votes, the share of differing bits over the whole overlap says how alike they are.
 
-A recording matches a query if at least MIN_VOTES integers are equal at the best offset and at most MAX_ERROR of
-the overlap's bits differ. Votes come from an inverted index: runs of one integer (value, recording, position, length)
-of recordings and clips meet by value, in an equi-join whose skewed values Spark splits, and no frequent integer is
+A recording matches a query if at least MIN_VOTES pairs are equal at the best offset and at most MAX_ERROR of the
+overlap's bits differ. Votes come from an inverted index: runs of one pair (value, recording, position, length)
+of recordings and clips meet by value, in an equi-join whose skewed values Spark splits, and no frequent pair is
 left out. Two runs vote for a trapezoid of offsets, given by the four places where its slope changes, so a
 long note or silence against another is four rows, not a square; the slopes' running sums are the histogram.
 Recordings with equal fingerprints are one class, named by its smallest id, and so are clips; every match counts, as a
@@ -29,7 +30,7 @@ from graphloom.llm.common import prepare, stored
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 128, 12
 LOW_HZ, HIGH_HZ = 60.0, 1900.0
-MIN_VOTES, MAX_ERROR = 4, 0.25
+MIN_VOTES, MAX_ERROR = 3, 0.25
 #: Frames transformed at once.
 FRAMES = 4096
 
@@ -135,12 +136,15 @@ def fingerprints(media: DataFrame, id_col: str = "media_id", audio_col: str = "a
 
 
 def _runs(classes: DataFrame, name: str) -> DataFrame:
-    """value, name, start, length of each run of one integer."""
+    """value, name, start, length of each run of one pair of successive integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = codes.values.to_numpy()
+                codes = codes.values.to_numpy().astype(np.uint64)
+                values = ((codes[:-1] << np.uint64(32)) | codes[1:]).view(np.int64)
+                if not len(values):
+                    continue
                 starts = np.concatenate([[0], np.nonzero(values[1:] != values[:-1])[0] + 1])
                 lengths = np.diff(np.append(starts, len(values)))
                 yield pa.RecordBatch.from_arrays([pa.array(values[starts]), pa.array(np.full(len(starts), owner)), pa.array(starts.astype(np.int64)), pa.array(lengths.astype(np.int64))], ["value", name, "start", "length"])

@@ -38,12 +38,18 @@ def segment(code: Column, s: int) -> Column:
     return F.shiftrightunsigned(code, WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def _probes(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
-    """query, segment, value: the index's values at the radius from each query's segments."""
+def _held(index: DataFrame) -> np.ndarray:
+    """Which values each segment of the index has: a bit each, from one row a segment and high byte."""
+    high = F.shiftright("value", 8)
+    bits = index.groupBy("segment", high.alias("high")).agg(F.collect_set(F.col("value").bitwiseAND(F.lit(255))).alias("low"))  # 256 values at most
     held = np.zeros((SEGMENTS, 1 << WIDTH), bool)
-    for r in index.select("segment", "value").distinct().toArrow().to_batches():  # bounded: SEGMENTS * 2 ** WIDTH rows
-        held[r.column(0).to_numpy(), r.column(1).to_numpy()] = True
-    shared = queries.sparkSession.sparkContext.broadcast(held)
+    for r in bits.collect():  # SEGMENTS * 2 ** (WIDTH - 8) rows
+        held[r["segment"], (r["high"] << 8) + np.array(r["low"])] = True
+    return held
+
+
+def _probes(queries: DataFrame, shared, radius: int) -> DataFrame:
+    """query, segment, value: the index's values at the radius from each query's segments."""
     masks = _VALUES[_ONES == radius]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +58,8 @@ def _probes(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
                 for s in range(SEGMENTS):
                     values = ((int(code) >> (WIDTH * s)) & ((1 << WIDTH) - 1)) ^ masks
                     values = values[shared.value[s][values]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), code)), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query", "segment", "value"])
+                    if len(values):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), code)), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query", "segment", "value"])
 
     return queries.mapInArrow(run, "query long, segment int, value int")
 
@@ -80,12 +87,13 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     near = [F.bit_count(segment(apart, s)) for s in range(SEGMENTS)]
     nearest = F.array_position(F.array(*near), F.least(*near)) - 1  # the first of the nearest segments
     ranked = Window.partitionBy("query").orderBy("distance", "low")
+    shared = entries.sparkSession.sparkContext.broadcast(_held(index))
     for radius in range(WIDTH + 1 if need else 0):
-        found = _probes(active, index, radius).join(index, ["segment", "value"]).filter((F.least(*near) == radius) & (nearest == F.col("segment")))
+        found = _probes(active, shared, radius).join(index.hint("merge"), ["segment", "value"]).filter((F.least(*near) == radius) & (nearest == F.col("segment")))
         found = found.select("query", "code", "n", "low", F.bit_count(apart).cast("int").alias("distance"))
         better = stored(best.unionByName(found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("rank"), "best")
         proven = better.filter(F.col("distance") <= SEGMENTS * (radius + 1) - 1).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
-        left = stored(active.join(proven, "query", "left_anti"), "active")
+        left = stored(active.join(proven.hint("merge"), "query", "left_anti"), "active")
         discard(best, active)
         best, active = better, left
         if active.isEmpty():
