@@ -97,6 +97,15 @@ def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float | None
     return state.select("graph", "node", F.col("x").alias("eigenvector"))
 
 
+def eigenvector_or_pagerank(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """graph, node, centrality: eigenvector centrality, or PageRank for graphs in which it hasn't settled after `iterations` steps."""
+    last, more = eigenvector(edges, iterations, tolerance), eigenvector(edges, iterations + 1, None)
+    both = cut(last.join(more.withColumnRenamed("eigenvector", "next"), ["graph", "node"]))
+    settled = both.groupBy("graph").agg((F.sum(F.abs(F.col("next") - F.col("eigenvector"))) < F.count(F.lit(1)) * tolerance * 10).alias("settled"))
+    rank = pagerank(edges, iterations=iterations, tolerance=tolerance)
+    return both.join(settled, "graph").join(rank, ["graph", "node"]).select("graph", "node", F.when(F.col("settled"), F.col("eigenvector")).otherwise(F.col("pagerank")).alias("centrality"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """graph, node, component: the smallest node reached over undirected edges, by min-label steps with pointer jumping."""
     both = cut(edges.select("graph", "src", "dst").union(edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())

@@ -24,6 +24,42 @@ def related_triples(sentences: DataFrame, entities: str = "entities", longest: i
     return pairs.select("doc_id", F.col("name").alias("subject"), F.lit("related_to").alias("relation"), "object", F.col("label"), F.struct("node_id", "pos").alias("ord"))
 
 
+NAME = r"[A-Z][\p{L}\p{N}'-]*(?:\s+[A-Z][\p{L}\p{N}'-]*)*"
+#: Rule forms of a parser's triples, in the order of their claims on a sentence: pattern, and how its groups make subject, relation, object.
+TRIPLE_RULES = [
+    ("passive", rf"({NAME})\s+(?:is|are|was|were)\s+(\p{{Ll}}+ed)\s+by\s+(?:the\s+)?({NAME})"),
+    ("verb", rf"({NAME})\s+(\p{{Ll}}{{2,}}(?:ed|s)(?:\s+(?:in|on|at|to|from|of|with|for))?)\s+(?:the\s+)?({NAME})"),
+    ("copula", rf"({NAME})\s+(is|are|was|were)\s+(?:(?:a|an|the)\s+)?([^.,;:!?]+)"),
+]
+
+
+def rule_triples(sentences: DataFrame, entities: str = "entities") -> DataFrame:
+    """doc_id, subject, relation, object, label, ord of passive, verb and copula sentences; `related_to` triples where a sentence has none.
+
+    The built-in extractor by rules over capitalised names. `X was VERBed by Y` gives (Y, is VERBed by, X), `X VERBs (in) Y`
+    gives (X, VERBs in, Y), `X is a Z` gives (X, is, Z); a form of `be` before `VERBed by` is passive, not a copula.
+    """
+    found = None
+    base = sentences.select("doc_id", "node_id", "text")
+    for n, (kind, pattern) in enumerate(TRIPLE_RULES):
+        part = lambda k, p=pattern: F.regexp_extract_all("text", F.lit(p), k)
+        rows = base.select("doc_id", "node_id", "text", F.posexplode(F.arrays_zip(part(1).alias("x"), part(2).alias("v"), part(3).alias("y"))).alias("pos", "m"))
+        subject, relation, object_ = F.col("m.x"), F.col("m.v"), F.trim(F.col("m.y"))
+        if kind == "passive":
+            subject, relation, object_ = object_, F.concat(F.lit("is "), relation, F.lit(" by")), subject
+        elif kind == "verb":
+            rows = rows.filter(~F.col("m.v").isin("is", "was", "has", "does"))
+        else:
+            relation = F.lit("is")
+            rows = rows.filter(~F.col("m.y").rlike("^\\p{Ll}+ed\\s+by\\s"))
+        each = rows.select("doc_id", subject.alias("subject"), relation.alias("relation"), object_.alias("object"), F.lit("entity").alias("label"), F.struct("node_id", (F.col("pos") + 1000 * n).alias("pos")).alias("ord"))
+        found = each if found is None else found.unionByName(each)
+    found = found.select("doc_id", "subject", "relation", "object", "label", F.struct(F.col("ord.node_id").cast("long").alias("node_id"), F.col("ord.pos").cast("long").alias("pos")).alias("ord"))
+    without = sentences.join(found.select("doc_id", F.col("ord.node_id").alias("node_id")).distinct(), ["doc_id", "node_id"], "left_anti")
+    rest = related_triples(without, entities)
+    return found.unionByName(rest.select("doc_id", "subject", "relation", "object", "label", F.struct(F.col("ord.node_id").cast("long").alias("node_id"), F.col("ord.pos").cast("long").alias("pos")).alias("ord")))
+
+
 def valid_triples(triples: DataFrame) -> DataFrame:
     """Normalised subject and object of at least 2 characters each and different."""
     normal = triples.withColumns({"subject": X.normalize_entity(F.col("subject")), "object": X.normalize_entity(F.col("object"))})
@@ -54,14 +90,15 @@ def kg_metrics(edges: DataFrame, iterations: int = 200) -> DataFrame:
 
 
 def kg_stats(nodes: DataFrame, edges: DataFrame, components: bool = False) -> DataFrame:
-    """doc_id, nodes, edges, labels (map of counts), density and, if asked for, whether it is weakly connected."""
+    """doc_id, nodes, edges, labels (map of counts), density and, if asked for, whether it is weakly connected and its number of communities."""
     labels = nodes.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"), F.sum("n").alias("nodes"))
     e = edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"))
     out = labels.join(e, "doc_id", "left").na.fill(0, ["edges"])
     out = out.withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6)).otherwise(0.0))
     if components:
         c = graphs.connected_components(as_graph(edges)).groupBy(F.col("graph").alias("doc_id")).agg((F.count_distinct("component") == 1).alias("connected"))
-        out = out.join(c, "doc_id", "left")
+        groups = graphs.communities(as_graph(edges)).groupBy(F.col("graph").alias("doc_id")).agg(F.count_distinct("community").alias("communities"))
+        out = out.join(c, "doc_id", "left").join(groups, "doc_id", "left")
     return out
 
 
@@ -103,6 +140,18 @@ def entity_facts(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int =
     return ranked.groupBy("doc_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", X.fact(F.col("subject"), F.col("relation"), F.col("object")).alias("f")))), lambda s: s["f"]).alias("facts"))
 
 
+def resolved_paths(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Path evidence between asked names: doc_id, first, second, a, b, nodes, steps. Names are resolved as match_entity does.
+
+    nodes: doc_id, text, pagerank; asked: doc_id, first, second. Pairs with an unknown name or without a path have no row.
+    """
+    names = asked.select("doc_id", F.col("first").alias("name")).union(asked.select("doc_id", F.col("second").alias("name"))).distinct()
+    known = cut(match_entity(nodes, names))
+    ends = asked.join(known.select("doc_id", F.col("name").alias("first"), F.col("start").alias("a")), ["doc_id", "first"]).join(known.select("doc_id", F.col("name").alias("second"), F.col("start").alias("b")), ["doc_id", "second"])
+    ends = cut(ends.filter("a <> b"))
+    return ends.join(path_evidence(edges, ends.select("doc_id", "a", "b").distinct()), ["doc_id", "a", "b"]).select("doc_id", "first", "second", "a", "b", "nodes", "steps")
+
+
 def path_evidence(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, a, b, nodes, steps: a shortest undirected path and its steps `x -[relation]-> y`, the relation of the edge that exists.
 

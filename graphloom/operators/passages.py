@@ -74,3 +74,28 @@ def with_entities(rows: DataFrame, text: str = "text", ignore_case: bool = True)
 def sentence_entity_sets(spans: DataFrame) -> DataFrame:
     """doc_id, sentence_id and the sorted distinct texts of its named spans."""
     return spans.filter(F.col("span_type").startswith("ner:")).groupBy("doc_id", "sentence_id").agg(F.array_sort(F.collect_set("text")).alias("entities"))
+
+
+NAME = r"[A-Z][\p{L}\p{N}'-]*(?:\s+[A-Z][\p{L}\p{N}'-]*)*+"
+#: Rule forms of the phrases that a parser would find: names; numbers with the words they count; clauses from an auxiliary or a past form on.
+PHRASES = {
+    "noun_phrase": [rf"\b{NAME}", r"\b\d[\d.,]*(?:\s+\p{Ll}+){1,2}+"],
+    "verb_clause": [r"\b(?:is|are|was|were|has|have|had|can|could|will|would|may|might|must|should|\p{Ll}{2,}ed)\b[^.;:,!?]*+"],
+}
+
+
+def phrase_spans(sentences: DataFrame) -> DataFrame:
+    """doc_id, sentence_id, span_type, text, start_char, end_char of noun phrases, numeric phrases and verb clauses, by rules.
+
+    The built-in forms of what a parser finds; a parser's rows with these columns can take their place. A numeric phrase has
+    more than 2 characters and a digit, a verb clause more than 2 words.
+    """
+    base = sentences.select("doc_id", F.col("node_id").alias("sentence_id"), "text")
+    found = None
+    for kind, patterns in PHRASES.items():
+        for pattern in patterns:
+            each = base.select("doc_id", "sentence_id", F.lit(kind).alias("span_type"), F.col("text").alias("whole"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), lambda x: F.trim(x)))).alias("text"))
+            found = each if found is None else found.unionByName(each)
+    kept = found.filter(F.when(F.col("span_type") == "verb_clause", X.word_count(F.col("text")) > 2).otherwise(F.length("text") > 2))
+    placed = kept.withColumn("start_char", F.expr("locate(text, whole) - 1"))
+    return placed.select("doc_id", "sentence_id", "span_type", "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char")).distinct()

@@ -112,6 +112,12 @@ def merge_sub_questions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("q_id", "span_id").agg(F.sum("score").alias("score"))
 
 
+def merge_entities(chains: DataFrame) -> DataFrame:
+    """q_id and the knowledge-graph entities on the chains of all its parts, each once, sorted."""
+    on_graph = chains.filter("type = 'kg_bridge'").select("q_id", F.explode("nodes").alias("entity"))
+    return on_graph.groupBy("q_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+
+
 def merge_chains(chains: DataFrame, k: int = 3) -> DataFrame:
     """Chains with one text once, the best first; the k best of each question."""
     once = Window.partitionBy("q_id", "text").orderBy(F.desc("score"))

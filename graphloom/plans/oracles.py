@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.functions import lexicons as L
+from graphloom.operators import knowledge
 
 
 def _q(s: str) -> str:
@@ -62,6 +63,20 @@ t as (select * from trip where object is not null and subject <> object),
 kg as (select doc_id, subject src, object dst, 'related_to' relation, count(*)::double weight from t group by 1, 2, 3)"""
 
 
+def _rule(kind: str, pattern: str) -> str:
+    groups = ", ".join(f"unnest(regexp_extract_all(text, {_q(pattern)}, {k})) {c}" for k, c in ((1, "x"), (2, "v"), (3, "y")))
+    rows = f"(select doc_id, node_id, {groups} from turns)"
+    if kind == "passive":
+        return f"select doc_id, node_id, trim(y, ' ') subject, 'is ' || v || ' by' relation, x \"object\" from {rows}"
+    if kind == "verb":
+        return f"select doc_id, node_id, x, v, trim(y, ' ') from {rows} where v not in ('is', 'was', 'has', 'does')"
+    return f"select doc_id, node_id, x, 'is', trim(y, ' ') from {rows} where not regexp_matches(y, '^\\p{{Ll}}+ed\\s+by\\s')"
+
+
+def _cells(separator: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(trim(c, ' '), {separator}), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
 def _minmax(x: str) -> str:
     low, high = f"min({x}) over (partition by q_id)", f"max({x}) over (partition by q_id)"
     return f"(case when {high} > {low} then ({x} - {low}) / ({high} - {low}) else 0 end)"
@@ -82,6 +97,10 @@ def _prf(p: str, g: str, source: str) -> str:
 m as (select *, coalesce(list_sum(list_transform(list_distinct(pt), lambda t: least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))), 0)::double same, len(pt)::double np, len(gt)::double ng from k)"""
 
 
+EVALUATED = f"""{_prf('pred', 'gold', PAIRS)}, v as (select conv_id * 1000 + turn q, case when turn % 2 = 0 then 'even' else 'odd' end lv, case when conv_id % 3 = 0 then 'bridge' else 'comparison' end ty, pa, ga, ng,
+ case when same > 0 then 2 * (same / np) * (same / ng) / (same / np + same / ng) else 0.0 end f1 from m)"""
+
+
 def _pagerank(steps: int) -> str:
     parts = [
         f"{KNN}, {NODES}, outw as (select graph, src, sum(weight) total from g group by 1, 2), sh as (select g.graph, g.src, g.dst, weight / total share from g join outw using (graph, src)), "
@@ -101,6 +120,14 @@ def _discourse(lexicon: dict[str, list[str]], x: str) -> str:
     return f"list_filter([{tests}], lambda t: t is not null)"
 
 
+SPANS = f"""{TURNS}, s as (select *, node_id // 2 sid, lead(node_id) over (partition by doc_id order by node_id) nxt from turns), m as (select *, {_discourse(L.DISCOURSE, 'lower(text)')} types from s), o as (select doc_id, node_id, unnest(entities) entity, generate_subscripts(entities, 1) pos from turns),
+p as (select a.doc_id, a.node_id src, b.node_id dst from o a join o b on a.doc_id = b.doc_id and a.entity = b.entity and (a.node_id, a.pos) < (b.node_id, b.pos)),
+e as (select a.doc_id, a.node_id src, b.node_id dst, 'same_sentence' "type", 1.0 weight, 2 prio from s a join s b on a.doc_id = b.doc_id and a.sid = b.sid and a.node_id <> b.node_id
+ union all select doc_id, node_id, nxt, 'sequential', 0.9, 1 from s where nxt // 2 <> sid union all select doc_id, nxt, node_id, 'backward', 0.7, 1 from s where nxt // 2 <> sid
+ union all select m.doc_id, m.node_id, t.node_id, types[-1], 0.85, 6 from m join s t on t.doc_id = m.doc_id and abs(t.sid - m.sid) <= 1 and t.node_id <> m.node_id where len(types) > 0
+ union all select doc_id, src, dst, 'entity_overlap', 0.8, 7 from p union all select doc_id, dst, src, 'entity_overlap', 0.8, 7 from p)"""
+
+
 def _title(x: str) -> str:
     letters = f"regexp_replace({x}, '[^\\p{{L}}]', '', 'g')"
     words = f"len(list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> ''))"
@@ -264,7 +291,7 @@ select doc_id, case when length(text) <= 220 then text when dot - 1 > 132 then c
     "decompose": f"with {_questions()} select item_id, form, {_decompose()} parts from questions",
     "kg_triples": f"with {TRIPLES} select doc_id, src, dst, relation, weight from kg",
     "kg_nodes": f"with {TRIPLES}, e as (select doc_id, subject x, label, node_id, pos from t union all select doc_id, object, null, node_id, pos from t) select doc_id, x \"text\", coalesce(arg_min(label, node_id * 100000 + pos) filter (where label is not null), 'entity') label, count(*) frequency from e group by 1, 2",
-    "kg_stats": f"with {TRIPLES}, v as (select doc_id, src x from kg union select doc_id, dst from kg), n as (select doc_id, count(*) nodes from v group by 1), e as (select doc_id, count(*) edges from kg group by 1) select doc_id, nodes, edges, case when nodes > 1 then round(edges / (nodes * (nodes - 1)), 6) else 0 end density from n join e using (doc_id)",
+    "kg_stats": f"with {TRIPLES}, v as (select doc_id, src x from kg union select doc_id, dst from kg), n as (select doc_id, count(*) nodes from v group by 1), e as (select doc_id, count(*) edges from kg group by 1) select doc_id, nodes, edges, case when nodes > 1 then round(edges / (nodes * (nodes - 1)), 6) else 0 end density, labels from n join e using (doc_id) join (select doc_id, string_agg(label || '=' || c, ',' order by label) labels from (select doc_id, label, count(*) c from (select doc_id, x, coalesce(arg_min(label, node_id * 100000 + pos) filter (where label is not null), 'entity') label from (select doc_id, subject x, label, node_id, pos from t union all select doc_id, object, null, node_id, pos from t) group by 1, 2) group by 1, 2) group by 1) using (doc_id)",
     "kg_facts": f"""with {TRIPLES}, s as (select distinct doc_id, src start from kg), h1 as (select distinct s.doc_id, start, case when src = start then dst else src end n from s join kg on kg.doc_id = s.doc_id and (src = start or dst = start)),
 seen as (select doc_id, start, start n, 1 hop from s union all select doc_id, start, n, 2 from h1), f as (select x.doc_id, start, src, relation, dst, max(weight) weight, min(hop) hop from seen x join kg on kg.doc_id = x.doc_id and (kg.src = x.n or kg.dst = x.n) group by 1, 2, 3, 4, 5),
 k as (select *, row_number() over (partition by doc_id, start order by weight desc, hop, src, dst) r from f) select doc_id, start, string_agg(src || ' ' || relation || ' ' || dst, ' | ' order by r) facts from k where r <= 8 group by 1, 2""",
@@ -276,4 +303,31 @@ tf as (select doc_id, term, count(*)::double tf from (select doc_id, unnest(w) t
 x as (select doc_id, tf * (ln((1 + n) / (1 + df)) + 1) v from tf join top using (term), n), s as (select doc_id, sum(v) / sqrt(sum(v * v)) importance from x group by 1)
 select d.doc_id, round(coalesce(importance, 0), 6) importance from documents d left join s using (doc_id)""",
     "rag_prompts": f"with {_bm25(_space_tokens)}, c as (select query item_id, string_agg(d2.text, chr(10) order by rank) x from top join documents d2 on d2.doc_id = top.doc group by 1) select b.item_id, 'Answer the question from the context with a short phrase.' || chr(10) || 'Context:' || chr(10) || x || chr(10) || 'Question: ' || b.text || chr(10) || 'Answer:' prompt from benchmark b join c using (item_id)",
+    "kg_rule_triples": f"with {SENTENCES} " + " union all ".join(_rule(kind, p) for kind, p in knowledge.TRIPLE_RULES),
+    "span_graph": f"with {SPANS} select doc_id, src, dst, arg_max(\"type\", prio) \"type\", arg_max(weight, prio)::double weight from e group by 1, 2, 3",
+    "edge_type_counts": f"with {SPANS} select \"type\", count(*) n from (select doc_id, src, dst, arg_max(\"type\", prio) \"type\" from e group by 1, 2, 3) group by 1",
+    "batch_evaluation": f"""with {EVALUATED}, r as (select lv "level", ty "type", case when q % 7 > 0 and pa = ga then 1.0 else 0.0 end em, case when q % 7 > 0 then f1 else 0.0 end f1 from v)
+select "level", "type", grouping("level", "type")::int "grouping", count(*) questions, round(avg(em), 4) exact_match, round(avg(f1), 4) f1 from r group by grouping sets (("level"), ("type"), ("level", "type"), ())""",
+    "system_metrics": f"""with {EVALUATED}, n as (select count(*) questions from v),
+s as (select 'echo' system, count(*) answered, sum((pa = ga)::int) em, sum(f1) f1 from v union all select 'half', count(*), count(*), sum(case when ng > 0 then 1.0 else 0.0 end) from v where q % 2 = 0)
+select system, questions, answered, round(em / questions, 4)::double exact_match, round(f1 / questions, 4)::double f1 from s, n""",
+    "expansions": f"""with {_bm25(_tokens)}, x as (select query q_id, rank variant, b.text question, list_filter({_tokens('d2.text')}, lambda t: length(t) > 2 and not list_contains({_tokens('b.text')}, t))[1:4] fresh from top join documents d2 on d2.doc_id = top.doc join benchmark b on b.item_id = query where rank <= 3),
+e as (select q_id, variant, question || ' ' || array_to_string(fresh, ' ') "query" from x where len(fresh) > 0 union all select item_id, 0, text from benchmark),
+once as (select *, row_number() over (partition by q_id, {_norm('"query"')} order by variant) n from e) select q_id, variant, "query" from once where n = 1""",
+    "closeness": f"""with recursive {KNN}, {NODES}, r(graph, a, node, d) as (select graph, node, node, 0 from nodes union select r.graph, r.a, g.src, d + 1 from r join g on g.graph = r.graph and g.dst = r.node where d < 49),
+m as (select graph, a, node, min(d) d from r group by 1, 2, 3), s as (select graph, a node, count(*) - 1 k, sum(d) total from m group by 1, 2), n as (select graph, count(*) n from nodes group by 1)
+select graph, node, case when total > 0 and n > 1 then k::double / total * k / (n - 1) else 0 end closeness from s join n using (graph)""",
+    "spans": f"""with t as (select conv_id doc_id, turn sentence_id, text from conversations), c as (select *, string_split(regexp_replace(regexp_replace(text, ':\\s+([A-Z])', chr(1) || '\\1', 'g'), ';\\s+', chr(1), 'g'), chr(1)) p from t),
+x as (select doc_id, sentence_id, p, unnest(range(1, len(p) + 1)) i from c where length(text) > 150 and len(p) > 1),
+r as (select doc_id, sentence_id, 0 f, 0 pos, 'sentence' span_type, text, 0 a, length(text) b from t union all
+ select doc_id, sentence_id, 2, i - 1, 'clause', p[i], coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z))), 0), coalesce(list_sum(list_transform(p[1:i], lambda z: length(z))), 0) from x where length(p[i]) > 30),
+o as (select *, row_number() over (partition by doc_id, sentence_id, lower(trim(text, ' ')) order by f, pos) n from r)
+select doc_id, sentence_id, (row_number() over (partition by doc_id, sentence_id order by f, pos) - 1)::int ord, span_type, a::int start_char, b::int end_char, md5(text) text_md5 from o where n = 1""",
+    "text_tables": f"""with l as (select doc_id, i, s[i] c from (select doc_id, s, unnest(range(1, len(s) + 1)) i from (select doc_id, string_split(text, chr(10)) s from documents))),
+w as (select doc_id, i, {_cells("'[ \\t\\n\\v\\f\\r]{2,}'")} wide, {_cells("'[|\\t,]'")} narrow from l where trim(c, ' ') <> ''),
+k as (select doc_id, i, case when len(wide) >= 2 then wide else narrow end cells from w), z as (select *, case when len(cells) >= 2 then len(cells) else 0 end width from k),
+b as (select *, case when coalesce(lag(width) over (partition by doc_id order by i), -1) <> width then 1 else 0 end st from z),
+t as (select *, sum(st) over (partition by doc_id order by i rows unbounded preceding)::bigint table_id from b)
+select doc_id, table_id, count(*)::int n_rows, len(arg_min(cells, i))::int n_cells from t where width >= 2 group by 1, 2 having count(*) >= 2""",
+    "system_comparison": "with d as (select lang, round(avg(quality::double), 4) exact_match, round(avg(toxic::double), 4) f1 from documents join labels using (doc_id) group by 1) " + " union all ".join(f"select '{m}' metric, " + ", ".join(f"coalesce(max(case when lang = '{x}' then printf('%.4f', {m}) end), 'N/A') {x}" for x in ("de", "en", "es", "fr")) + " from d" for m in ("exact_match", "f1")),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import lexicons as L
 from graphloom.functions import text as X
-from graphloom.operators import answers, bm25, comparison, edges, evaluation, graphs, knowledge, models, passages, questions, retrieval
+from graphloom.operators import answers, bm25, comparison, edges, evaluation, graphs, knowledge, models, passages, questions, reasoning, retrieval
 from graphloom.sources import documents, sampling, sinks
 from graphloom.sources.storage import cut
 
@@ -475,7 +475,27 @@ def kg_nodes(spark, sf):
 @query
 def kg_stats(spark, sf):
     t = _triples(spark, sf)
-    return knowledge.kg_stats(knowledge.kg_nodes(t), knowledge.kg_edges(t)).select("doc_id", "nodes", "edges", "density")
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("labels")
+    return knowledge.kg_stats(knowledge.kg_nodes(t), knowledge.kg_edges(t)).select("doc_id", "nodes", "edges", "density", labels)
+
+
+@query
+def kg_connectivity(spark, sf):
+    """Of each document's knowledge graph, whether it is connected and its number of communities."""
+    t = _triples(spark, sf)
+    return knowledge.kg_stats(knowledge.kg_nodes(t), cut(knowledge.kg_edges(t)), components=True).select("doc_id", "connected", "communities")
+
+
+@query
+def kg_rule_triples(spark, sf):
+    """Triples by rules, without the fallback."""
+    t = knowledge.rule_triples(_sentences(spark, sf).withColumn("entities", F.array().cast("array<string>")))
+    return t.select("doc_id", F.col("ord.node_id").alias("node_id"), "subject", "relation", "object")
+
+
+@query
+def phrase_spans(spark, sf):
+    return passages.phrase_spans(_sentences(spark, sf)).select("doc_id", "sentence_id", "span_type", "start_char", "end_char", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -540,3 +560,90 @@ def rag_prompts(spark, sf):
     top = bm25.topk(docs, items, "doc_id", "text", "item_id", "text", 5, bm25.whitespace_tokens).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank").join(docs.select("doc_id", "text"), "doc_id")
     context = top.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), "\n").alias("context"))
     return items.join(context, "item_id").select("item_id", models.context_prompt(F.col("text"), F.col("context")).alias("prompt"))
+
+
+def _span_edges(spark, sf):
+    """Turns as spans, two to a sentence."""
+    return reasoning.span_graph(_turns(spark, sf).withColumn("sentence_id", F.floor(F.col("node_id") / 2).cast("int")))
+
+
+@query
+def span_graph(spark, sf):
+    return _span_edges(spark, sf).select("doc_id", "src", "dst", "type", "weight")
+
+
+@query
+def edge_type_counts(spark, sf):
+    return reasoning.edge_types(_span_edges(spark, sf))
+
+
+def _word_lengths(x):
+    """A plain embedding without a model: how many words have each length up to 16."""
+    sizes = F.transform(X.tokenize(x), lambda w: F.length(w))
+    return F.transform(F.sequence(F.lit(1), F.lit(16)), lambda n: F.size(F.filter(sizes, lambda s: s == n)).cast("double"))
+
+
+def _asked(spark, sf):
+    """The first turn of each conversation asks its other turns."""
+    first = _turns(spark, sf).filter("node_id = 0")
+    return first.select(F.col("doc_id").alias("q_id"), "doc_id", F.col("text").alias("question"), _word_lengths(F.col("text")).alias("embedding"))
+
+
+def _corpus(spark, sf):
+    turns = cut(_turns(spark, sf).filter("node_id > 0").withColumns({"embedding": _word_lengths(F.col("text")), "span_id": F.struct("doc_id", "node_id")}))
+    links = cut(reasoning.span_graph(turns))
+    id_of = lambda c: F.struct("doc_id", F.col(c).alias("node_id")).alias(c)
+    central = graphs.degree_centrality(links.select(F.col("doc_id").alias("graph"), "src", "dst")).select(F.col("graph").alias("doc_id"), F.col("node").alias("node_id"), "centrality")
+    rows = turns.join(central, ["doc_id", "node_id"], "left")
+    near = cut(edges.resolve(edges.structural_edges(turns)))
+    kg = knowledge.kg_edges(knowledge.valid_triples(knowledge.related_triples(turns.withColumn("entities", F.transform("entities", lambda e: F.concat(F.lit("word:"), e))))))
+    return reasoning.Corpus(
+        cut(rows.select("doc_id", "span_id", F.col("node_id").alias("sentence_id"), "text", "section", "embedding", "centrality")),
+        cut(rows.select("doc_id", F.col("node_id").alias("sentence_id"), "text", "embedding", F.col("centrality").alias("pagerank"))),
+        links.select("doc_id", id_of("src"), id_of("dst"), "type"),
+        near.select("doc_id", "src", "dst", "weight"),
+        cut(kg.select("doc_id", "src", "dst")),
+    )
+
+
+@query
+def reasoning_evidence(spark, sf):
+    """Core run over every conversation: its first turn against the others."""
+    evidence, _ = reasoning.run_core(_asked(spark, sf), _corpus(spark, sf), 3)
+    return evidence.select("q_id", "span_id.node_id", "rank", F.round("score", 6).alias("score"), "relevant")
+
+
+@query
+def reasoning_parts(spark, sf):
+    """The same with compound questions asked in parts."""
+    evidence, _ = reasoning.reason(_asked(spark, sf), _corpus(spark, sf), 3)
+    return evidence.select("q_id", "span_id.node_id", "rank", F.round("score", 6).alias("score"), "parts")
+
+
+@query
+def pages_to_answers(spark, sf):
+    """From benchmark texts as pages to the answers to a question about each."""
+    items = table(spark, sf, "benchmark")
+    pages = items.select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page"), "text")
+    asked = items.select(F.col("item_id").alias("q_id"), F.col("item_id").alias("doc_id"), F.array_join(F.slice(X.tokenize(F.col("text")), 1, 4), " ").alias("question"))
+    return reasoning.answer_questions(pages, asked, 5, _word_lengths).select("q_id", "answer", F.round("answer_score", 6).alias("answer_score"))
+
+
+def _gold(spark, sf):
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("q_id")
+    return _answer_pairs(spark, sf).select(key, "pred", F.col("gold").alias("answer"), F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("level"), F.when(F.col("conv_id") % 3 == 0, "bridge").otherwise("comparison").alias("type"))
+
+
+@query
+def batch_evaluation(spark, sf):
+    g = _gold(spark, sf)
+    _, means = reasoning.evaluate(g.filter("q_id % 7 > 0").select("q_id", F.col("pred").alias("answer")), g.drop("pred"))
+    return means
+
+
+@query
+def system_metrics(spark, sf):
+    g = _gold(spark, sf)
+    echo = g.select(F.lit("echo").alias("system"), "q_id", F.col("pred").alias("answer"))
+    some = g.filter("q_id % 2 = 0").select(F.lit("half").alias("system"), "q_id", "answer")
+    return reasoning.compare_systems(echo.unionByName(some), g.drop("pred"))

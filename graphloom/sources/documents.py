@@ -124,6 +124,30 @@ def read_pdfs(spark: SparkSession, path: str, ocr=None) -> DataFrame:
     return files.mapInPandas(run, PAGE).withColumn("text", X.clean_page_text(F.col("text")))
 
 
+def read_pdf_tables(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, page, table_id, rows of the ruled tables of PDF files, cells trimmed, rows without text left out; needs the optional module pdfplumber on the executors."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import pdfplumber
+
+        for pdf in parts:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                with pdfplumber.open(io.BytesIO(content)) as doc:
+                    for number, page in enumerate(doc.pages, 1):
+                        for k, found in enumerate(page.extract_tables()):
+                            cells = [[(c or "").strip() for c in r] for r in found]
+                            kept = [r for r in cells if any(r)]
+                            if kept:
+                                rows.append((name, number, k, kept))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "table_id", "rows"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    return files.mapInPandas(run, "doc_id string, page int, table_id long, rows array<array<string>>")
+
+
 def read_document(pages: DataFrame) -> dict[str, DataFrame]:
     """Pages with headings, sections and tables of extracted pages."""
     flagged = heading_of_page(flag_headings(pages))

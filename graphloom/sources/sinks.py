@@ -63,9 +63,12 @@ def graphml(nodes: DataFrame, edges: DataFrame, node: str = "node_id", lists: tu
     cell = {c: F.array_join(c, ",") if c in lists else F.col(c).cast("string") for c in attributes}
     data = F.concat(*(F.concat(F.lit(f'<data key="{c}">'), escape_html(F.coalesce(x, F.lit(""))), F.lit("</data>")) for c, x in cell.items()))
     n = nodes.select("doc_id", F.concat(F.lit('<node id="'), escape_html(F.col(node).cast("string")), F.lit('">'), data, F.lit("</node>")).alias("x"))
-    e = edges.select("doc_id", F.concat(F.lit('<edge source="'), escape_html(F.col("src").cast("string")), F.lit('" target="'), escape_html(F.col("dst").cast("string")), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("x"))
+    extra = [c for c in ("type", "relation") if c in edges.columns]
+    kinds = [F.concat(F.lit(f'<data key="edge_{c}">'), escape_html(F.coalesce(F.col(c), F.lit(""))), F.lit("</data>")) for c in extra]
+    e = edges.select("doc_id", F.concat(F.lit('<edge source="'), escape_html(F.col("src").cast("string")), F.lit('" target="'), escape_html(F.col("dst").cast("string")), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data>"), *kinds, F.lit("</edge>")).alias("x"))
     body = n.withColumn("k", F.lit(0)).unionByName(e.withColumn("k", F.lit(1))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]), "\n").alias("body"))
     keys = "".join(f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>' for c in attributes) + '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>'
+    keys += "".join(f'<key id="edge_{c}" for="edge" attr.name="{c}" attr.type="string"/>' for c in extra)
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">\n'
     return body.select("doc_id", F.concat(F.lit(head), "body", F.lit("\n</graph></graphml>")).alias("graphml"))
 
@@ -76,9 +79,31 @@ def node_colours(nodes: DataFrame, by: str, colours: dict[str, str], other: str
     return nodes.withColumn("color", F.coalesce(F.element_at(F.create_map(*pairs), F.col(by)), F.lit(other)))
 
 
-def comparison_table(analyses: DataFrame, metrics: list[str]) -> DataFrame:
-    """metric by system, `N/A` where a system lacks it. analyses: system and the metric columns."""
+def level_rows(records: DataFrame, by_level: DataFrame | None = None) -> DataFrame:
+    """system, level, questions, exact_match, f1: from the analyses' own level rows, or for systems without any counted from their records.
+
+    records: system, level, exact_match, f1; by_level: system, level, questions, exact_match, f1.
+    """
+    means = (F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(c) for c in ("exact_match", "f1"))
+    counted = records.groupBy("system", "level").agg(F.count(F.lit(1)).alias("questions"), *means)
+    if by_level is None:
+        return counted
+    return by_level.select(counted.columns).unionByName(counted.join(by_level.select("system").distinct(), "system", "left_anti"))
+
+
+def write_comparison(table: DataFrame, path: str) -> None:
+    """A comparison table as JSON, and as text with padded columns."""
+    table.write.mode("overwrite").json(f"{path}/json")
+    line = F.concat_ws("  ", *(F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("N/A")), 24, " ") for c in table.columns))
+    table.select(F.rtrim(line).alias("value")).write.mode("overwrite").text(f"{path}/text")
+
+
+def comparison_table(analyses: DataFrame, metrics: list[str], most: int = 100) -> DataFrame:
+    """metric by system, `N/A` where a system lacks it; at most `most` systems. analyses: system and the metric columns."""
     long = analyses.select("system", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select("system", "m.metric", "m.value")
-    systems = sorted(r["system"] for r in analyses.select("system").distinct().toLocalIterator())  # the compared systems, a few
+    names = analyses.select("system").distinct().orderBy("system").limit(most + 1).collect()
+    if len(names) > most:
+        raise ValueError(f"a table has at most {most} systems as columns")
+    systems = [r["system"] for r in names]
     wide = long.groupBy("metric").pivot("system", systems).agg(F.first("value"))
     return wide.select("metric", *(F.coalesce(F.format_number(s, 4), F.lit("N/A")).alias(s) for s in systems))

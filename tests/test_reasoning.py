@@ -90,3 +90,47 @@ def test_evaluation_and_comparison(spark):
     assert {r["questions"]: r["exact_match"] for r in means.filter("grouping = 3").collect()} == {2: 0.5}
     systems = spark.createDataFrame([("x", 1, "Paris"), ("x", 2, "Nile"), ("y", 1, "Rome")], "system string, q_id int, answer string")
     assert {(r["system"], r["exact_match"], r["answered"]) for r in reasoning.compare_systems(systems, gold).collect()} == {("x", 1.0, 2), ("y", 0.0, 1)}
+
+
+def test_triples_and_phrases_by_rules(spark):
+    from graphloom.operators import knowledge, passages
+
+    rows = [("d", 0, "Hamlet was written... Hamlet was penned by William Shakespeare.", []), ("d", 1, "Marie Curie worked in Paris.", []), ("d", 2, "Paris is a large city, they say.", []), ("d", 3, "nothing here", ["X:ann", "X:bob"])]
+    s = spark.createDataFrame(rows, "doc_id string, node_id long, text string, entities array<string>")
+    got = {(r["subject"], r["relation"], r["object"]) for r in knowledge.rule_triples(s).collect()}
+    assert {("William Shakespeare", "is penned by", "Hamlet"), ("Marie Curie", "worked in", "Paris"), ("Paris", "is", "large city"), ("ann", "related_to", "bob")} <= got
+    assert not any(r == "is" and o.startswith("penned by") for _, r, o in got)
+    t = spark.createDataFrame([("d", 0, "Marie Curie kept 12 small tubes and was awarded two large prizes, it is said")], "doc_id string, node_id long, text string")
+    spans = {(r["span_type"], r["text"], r["start_char"], r["end_char"]) for r in passages.phrase_spans(t).collect()}
+    assert {("noun_phrase", "Marie Curie", 0, 11), ("noun_phrase", "12 small tubes", 17, 31), ("verb_clause", "was awarded two large prizes", 36, 64)} <= spans
+    assert all(len(text.split()) > 2 for kind, text, *_ in spans if kind == "verb_clause")
+
+
+def test_paths_between_asked_names_have_any_length(spark):
+    from graphloom.operators import knowledge
+
+    e = spark.createDataFrame([("d", f"n{i}x", f"n{i + 1}x", "to", 1.0) for i in range(9)], "doc_id string, src string, dst string, relation string, weight double")
+    n = spark.createDataFrame([("d", f"n{i}x", 0.1) for i in range(10)], "doc_id string, text string, pagerank double")
+    asked = spark.createDataFrame([("d", "N0X", "n9"), ("d", "n1x", "zebra")], "doc_id string, first string, second string")
+    out = knowledge.resolved_paths(n, e, asked).collect()
+    assert len(out) == 1 and len(out[0]["nodes"]) == 10 and out[0]["steps"][0] == "n0x -[to]-> n1x"
+
+
+def test_level_rows_fall_back_to_records_and_tables_are_written(spark, tmp_path):
+    from graphloom.sources import sinks
+
+    records = spark.createDataFrame([("a", "easy", 1.0, 1.0), ("a", "easy", 0.0, 0.5), ("b", "hard", 1.0, 1.0)], "system string, level string, exact_match double, f1 double")
+    own = spark.createDataFrame([("b", "hard", 7, 0.3, 0.4)], "system string, level string, questions long, exact_match double, f1 double")
+    assert {tuple(r) for r in sinks.level_rows(records, own).collect()} == {("a", "easy", 2, 0.5, 0.75), ("b", "hard", 7, 0.3, 0.4)}
+    table = sinks.comparison_table(own.groupBy("system").agg(F.max("f1").alias("f1"), F.lit(None).cast("double").alias("em")), ["f1", "em"])
+    sinks.write_comparison(table, str(tmp_path / "t"))
+    assert any("N/A" in r["value"] for r in spark.read.text(str(tmp_path / "t/text")).collect())
+
+
+def test_eigenvector_falls_back_where_it_does_not_settle(spark):
+    from graphloom.operators import graphs
+
+    e = spark.createDataFrame([("g", a, b, 1.0) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))] + [("h", 0, 1, 1.0)], "graph string, src long, dst long, weight double")
+    got = {(r["graph"], r["node"]): r["centrality"] for r in graphs.eigenvector_or_pagerank(e, 60).collect()}
+    assert abs(got[("g", 1)] / got[("g", 0)] - 2**0.5) < 1e-3
+    assert got[("h", 1)] > got[("h", 0)] > 0
