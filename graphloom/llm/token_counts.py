@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import kept, prepare, scratch
+from graphloom.llm.common import prepare, scratch, stored
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    digests = kept(named.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    digests = stored(named.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
     missing = digests.join(read_cache(spark, cache_path, version), "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     one_each = named.alias("d").join(missing.alias("m"), (F.col("d.digest") == F.col("m.digest")) & F.col("d.doc_id").eqNullSafe(F.col("m.first_id")), "left_semi")
 
@@ -83,8 +83,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # an id given twice with one text passes the semi-join twice; the maximum keeps one row
     counted = one_each.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache_path)
-    stored = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # stored first: between two plain tables Spark splits the rows of a hot digest
+    known = stored(read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    return digests.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def fresh_cache(spark: SparkSession) -> str:
