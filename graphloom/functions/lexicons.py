@@ -43,6 +43,13 @@ QUESTION_CLASSES = [
 DECOMPOSED = ["comparative", "bridge", "causal", "process"]
 PLAIN_ADJECTIVE = [("older", "old"), ("longer", "long"), ("taller", "tall"), ("larger", "large"), ("bigger", "big")]
 
+# The forms of compound questions, in the order tried.
+BOTH_SHARE = r"(?i)^(?:are|is|were|was|do|did|does)\s+(.*?)\s+and\s+(.*?)\s+both\s+(.*)"
+TWO_ACTS = r"(?i)^(who|which|what)(.*?)(?:was|is|did|does|has|had)\s+(.*?)\s+and\s+(.*?)$"
+CHOICE = r"(?i)^(who|which|what)\s+(?:is|was)\s+(.*?),\s+(.*?)\s+or\s+(.*?)$"
+ONE_LACKS = r"(?i)^(?:does|do|did|is|are|was) (.*?) (.*?) that (.*?) (?:does not|do not|is not)$"
+BRIDGE = r"(the\s+\w+\s+of\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+
 # Comparison question types by pattern, tested in this order.
 DIFFERENCE = [r"\bdifferent\b", r"\bhow is\b"]
 COMMON_PROPERTY = [
@@ -80,7 +87,19 @@ BOOLEAN = [
     r"\bboth\s+a\s+",
     r"\bboth\s+\w+\?$",
 ]
-COMPARATIVE = [rf"\b{w}\b" for w in ("more", "less", "larger", "smaller", "first", "earlier", "recent", "older", "wider", "bigger", "diverse")]
+COMPARATIVE = [
+    r"\bmore\b",
+    r"\bless\b",
+    r"\blarger\b",
+    r"\bsmaller\b",
+    r"\bfirst\b",
+    r"\bearlier\b",
+    r"\brecent\b",
+    r"\bolder\b",
+    r"\bwider\b",
+    r"\bbigger\b",
+    r"\bdiverse\b",
+]
 
 # The patterns that name the two sides of a comparison, in the order tried: (what they read, pattern).
 COMPARISON_SIDES = [

@@ -27,17 +27,17 @@ def sub_questions(q: Column, kind: Column) -> Column:
     """Simpler questions of a compound one, by the first rule that fits; else the question alone."""
     clean = F.trim(F.replace(q, F.lit("?"), F.lit("")))
     ask = lambda *parts: F.concat(*parts, F.lit("?"))
-    both = r"(?i)^(?:are|is|were|was|do|did|does)\s+(.*?)\s+and\s+(.*?)\s+both\s+(.*)"
+    both = L.BOTH_SHARE
     e1, e2, prop = _groups(clean, both, 3)
-    acts = r"(?i)^(who|which|what)(.*?)(?:was|is|did|does|has|had)\s+(.*?)\s+and\s+(.*?)$"
+    acts = L.TWO_ACTS
     wh, noun, a1, a2 = _groups(clean, acts, 4)
-    choice = r"(?i)^(who|which|what)\s+(?:is|was)\s+(.*?),\s+(.*?)\s+or\s+(.*?)$"
+    choice = L.CHOICE
     _, adjective, c1, c2 = _groups(clean, choice, 4)
     for old, new in L.PLAIN_ADJECTIVE:
         adjective = F.replace(adjective, F.lit(old), F.lit(new))
-    lacks = r"(?i)^(?:does|do|did|is|are|was) (.*?) (.*?) that (.*?) (?:does not|do not|is not)$"
+    lacks = L.ONE_LACKS
     l1, action, l2 = _groups(clean, lacks, 3)
-    bridge = r"(the\s+\w+\s+of\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+    bridge = L.BRIDGE
     halves = F.split(clean, " and ")
     splits = (F.size(halves) == 2) & (X.word_count(F.get(halves, F.lit(0))) > 2) & (X.word_count(F.get(halves, F.lit(1))) > 2)
     rules = (

@@ -169,11 +169,11 @@ def _any(patterns: list[str], x: str) -> str:
 def _decompose() -> str:
     c = "trim(replace(question, '?', ''))"
     ex = lambda p, k: f"regexp_extract({c}, {_q(p)}, {k})"
-    both = r"(?i)^(?:are|is|were|was|do|did|does)\s+(.*?)\s+and\s+(.*?)\s+both\s+(.*)"
-    acts = r"(?i)^(who|which|what)(.*?)(?:was|is|did|does|has|had)\s+(.*?)\s+and\s+(.*?)$"
-    choice = r"(?i)^(who|which|what)\s+(?:is|was)\s+(.*?),\s+(.*?)\s+or\s+(.*?)$"
-    lacks = r"(?i)^(?:does|do|did|is|are|was) (.*?) (.*?) that (.*?) (?:does not|do not|is not)$"
-    bridge = r"(the\s+\w+\s+of\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+    both = L.BOTH_SHARE
+    acts = L.TWO_ACTS
+    choice = L.CHOICE
+    lacks = L.ONE_LACKS
+    bridge = L.BRIDGE
     adjective = ex(choice, 2)
     for a, b in L.PLAIN_ADJECTIVE:
         adjective = f"replace({adjective}, '{a}', '{b}')"
