@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +89,13 @@ def bucket_of_id(col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % modulus
 
 
+def settle() -> None:
+    """Gives memory that a Python worker has freed back to the system: the worker stays, and its next work is another stage's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo(dict):
     """A dict that computes what is missing and forgets everything when it is full; long keys are not held."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bucket_of_id, prepare
+from graphloom.llm.common import bucket_of_id, prepare, settle
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (3, 4)
 PER_LANGUAGE, EPOCHS, RATE = 500, 12, 4.0
@@ -226,6 +226,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([not m.predict(t.as_py())[2] for t in batch.column(where)], pa.bool_()))
+        settle()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Memo, discard, prepare, stored
+from graphloom.llm.common import Memo, discard, prepare, settle, stored
 
 ROWS, TABLES = 3, 16
 #: Bounds of a tile: bytes of sets and sketches, and documents; a document takes so many bytes beside its set.
-TILE_BYTES, TILE_DOCS, SKETCH_BYTES = 8 << 20, 4096, 400
+TILE_BYTES, TILE_DOCS, SKETCH_BYTES = 4 << 20, 4096, 400
 #: Broadcast up to so many ids, and sketches of some 250 bytes.
 BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 100_000
 #: Signature agreement, of 2 * ROWS * TABLES minhashes, under which a pair at the similarity is too unlikely (5 deviations).
@@ -44,7 +44,7 @@ SLACK = 5.0
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(0, 2**63, 2 * ROWS * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 200_000, 64)
+_WORDS = Memo(xxhash.xxh3_64_intdigest, 100_000, 64)
 
 
 def shingles(text: str | None, words_each: int = 3) -> np.ndarray:
@@ -104,7 +104,8 @@ def sketch(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "signature"]
             )
-        _WORDS.clear()  # the worker goes on to other work
+        _WORDS.clear()
+        settle()
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
@@ -216,6 +217,8 @@ def _search_tiles(percent: int):
                 held.append(batch.slice(a, b - a))
         if held:
             yield links(held)
+        held = None
+        settle()
 
     return run
 
@@ -307,6 +310,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
             columns = [*batch.columns[:5], pa.array([f.tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n_shingles", "signature", "centres", "set"]).filter(own)
         _WORDS.clear()
+        settle()
 
     sets = stored(wanted.mapInArrow(full, "id long, digest binary, n_shingles long, signature binary, centres array<long>, set binary"), "sets")
     links = stored(_star_links(sets, percent).union(_repeated_ids(rows, classes)), "links")

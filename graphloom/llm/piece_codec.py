@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import Memo, prepare
+from graphloom.llm.common import Memo, prepare, settle
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,8 +112,8 @@ class PieceCodec:
         for i, (p, _, k) in enumerate(pieces):
             self.surface[i] = bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else self.text[i].encode()
         self.surface_of = {str(i): b for i, b in self.surface.items()}
-        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))), 400_000)
-        self.surfaces = Memo(lambda decimal: b"".join([self.surface_of[i] for i in decimal.split(" ")]), 150_000, 24)
+        self.units = Memo(lambda u: " ".join(map(str, self.encode_unit(u))), 200_000)
+        self.surfaces = Memo(lambda decimal: b"".join([self.surface_of[i] for i in decimal.split(" ")]), 75_000, 24)
 
     def _merge(self, text: str) -> list[str]:
         """The plain definition: the best-scored neighbours join, the leftmost first, until none can."""
@@ -276,5 +276,6 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(arrays, pa.list_(pa.int32()))] if with_ids else columns, [*names, "ids"] if with_ids else names)
+        settle()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" if with_ids else SCHEMA)

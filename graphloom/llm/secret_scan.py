@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import prepare
+from graphloom.llm.common import prepare, settle
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -187,5 +187,6 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = batch.columns
             columns[where] = texts
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        settle()
 
     return docs.withColumn(text_col, docs[text_col].cast("string")).mapInArrow(run, docs.withColumn(text_col, docs[text_col].cast("string")).schema)
