@@ -112,7 +112,7 @@ def train(rows: list[tuple[Row, list[Row]]], seed: int = 7) -> LanguageModel:
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     weight = np.zeros((DIM, k))
-    fit = [(i, c / c.sum(), languages.index(lang)) for n, ((i, c, lang), _) in enumerate(rows) if n % 5 != 4]
+    fit = [(i, (c / c.sum()).astype(np.float32), languages.index(lang)) for n, ((i, c, lang), _) in enumerate(rows) if n % 5 != 4]
     held = [r for n, (whole, parts) in enumerate(rows) if n % 5 == 4 for r in (whole, *parts) if len(r[0])] or [r[0] for r in rows]
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
@@ -194,7 +194,7 @@ def labelled_sample(docs: DataFrame, learn: Column | None, per_language: int = P
     out = []
     for n in order:
         lang = got["lang"][n].as_py()
-        parts = [(np.asarray(b.values, np.int64), np.asarray(c.values, np.float64), lang) for b, c in zip(got["buckets"][n], got["counts"][n], strict=True)]
+        parts = [(np.array(b.values, np.int32), np.array(c.values, np.float32), lang) for b, c in zip(got["buckets"][n], got["counts"][n], strict=True)]
         out.append((parts[0], parts[1:]))
     return out
 
@@ -234,4 +234,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 def train_on(docs: DataFrame, folds: int = 3, held: int = 1) -> LanguageModel:
     """A model from the rows of documents with a language whose crc32 of the id, modulo folds, isn't `held`."""
     prepare(docs.sparkSession)
-    return train(labelled_sample(docs, bucket_of_id("doc_id", folds) != held))
+    model = train(labelled_sample(docs, bucket_of_id("doc_id", folds) != held))
+    settle()
+    return model

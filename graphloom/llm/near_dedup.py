@@ -320,6 +320,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
     discard(sets, firsts, own, labels, *behind)
     labels = components(links.union(found))
     discard(links, found)
+    settle()
 
     # classes of one row without links need no lookup
     moved = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"), "n", "rep")
