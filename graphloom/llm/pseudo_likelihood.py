@@ -15,8 +15,8 @@ with the documents that have the words; both grow with the corpus, and so does t
 task's share does. Hashes and counts move in packed arrays. The driver gets the frequent words, class sums and one set
 of weights. All documents take part: they are counted, they train the network and they are scored. Documents are dealt
 by a hash of id and text into parts of about PART_CHARS characters and into ROUNDS rounds; in a round every part starts
-from the common weights and runs mini-batch Adagrad over one in STRIDE tokens of its documents, in the order of the
-hash, and the parts' weights are averaged by token count. So scores don't depend on how the table is partitioned.
+from the common weights and runs mini-batch Adagrad over every token of its documents, in the order of the hash, and
+the parts' weights are averaged by token count. So scores don't depend on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ CLUSTERS, WIDTH, CONTEXTS, RARE_INPUTS = 64, 64, 64, 512
 TOP, CLASSES = CLUSTERS * WIDTH, CLUSTERS + CONTEXTS
 BORDER, CELLS = TOP + RARE_INPUTS, 1 << 20
 SIDE, HIDDEN, RATE = 2, 24, 0.08
-ROUNDS, STRIDE, LEAST_PARTS, LEAST_BUCKETS = 2, 4, 8, 64
+ROUNDS, LEAST_PARTS, LEAST_BUCKETS = 2, 8, 64
 PART_CHARS, BUCKET_CHARS = 24 << 20, 4 << 20
 BLOCK, SCORED, CHUNK, SLICES = 8192, 16384, 4 << 20, 16
 ALPHAS = np.geomspace(0.01, 2.0, 24)
@@ -185,19 +185,21 @@ def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool)
 
 
 def _hidden(inputs: np.ndarray, around: np.ndarray) -> np.ndarray:
-    h = inputs[0][around[:, 0]]
+    h = inputs[0].take(around[:, 0], axis=0)
     for k in range(1, 2 * SIDE):
-        h += inputs[k][around[:, k]]
+        h += inputs[k].take(around[:, k], axis=0)
     return np.tanh(h, out=h)
 
 
-def _by_cluster(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each cluster among the frequent words' places, with the rows that it has."""
-    rows = np.nonzero(place >= 0)[0]
-    cluster = place[rows] // WIDTH
-    order = np.argsort(cluster, kind="stable")
-    names, starts = np.unique(cluster[order], return_index=True)
-    yield from zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True) if len(names) else ()
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers (inputs, classes): numpy sorts 16 bits by digits."""
+    return np.argsort(keys.astype(np.int16), kind="stable")
+
+
+def _clusters(classes: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each cluster among the sorted classes, with the rows that it has."""
+    ends = np.searchsorted(classes, np.arange(CLUSTERS + 1)).tolist()
+    yield from ((c, slice(a, b)) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b)
 
 
 def log_probabilities(flat: np.ndarray, words: Vocabulary, around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -206,48 +208,57 @@ def log_probabilities(flat: np.ndarray, words: Vocabulary, around: np.ndarray, c
     total, safe, word_safe = np.zeros(len(classes)), _bounded(out, bias), _bounded(word_out, word_bias)
     masked, word_masked = bias + words.class_mask, word_bias + words.word_mask
     for at in range(0, len(classes), SCORED):
-        cut = slice(at, at + SCORED)
-        h = _hidden(inputs, around[cut])
+        order = at + _order(classes[at : at + SCORED])
+        of, slot = classes[order], place[order] % WIDTH
+        h = _hidden(inputs, around[order])
         z = _logits(h, out, masked, safe)
-        got = (z[np.arange(len(h)), classes[cut]] - np.log(np.exp(z).sum(1))).astype(np.float64)
-        for c, rows in _by_cluster(place[cut]):
+        own = z[np.arange(len(h)), of]
+        got = (own - np.log(np.exp(z, out=z).sum(1))).astype(np.float64)
+        for c, rows in _clusters(of):
             z = _logits(h[rows], word_out[c], word_masked[c], word_safe[c])
-            got[rows] += z[np.arange(len(rows)), place[cut][rows] % WIDTH] - np.log(np.exp(z).sum(1))
-        total[cut] = got
+            own = z[np.arange(len(z)), slot[rows]]
+            got[rows] += own - np.log(np.exp(z, out=z).sum(1))
+        total[order] = got
     return total
 
 
 def learn(flat: np.ndarray, memory: np.ndarray, words: Vocabulary, around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> None:
     """One Adagrad step on a block of tokens, in place; only the weights that the block meets are touched."""
-    n = len(classes)
+    n, order = len(classes), _order(classes)
+    around, classes, slot = around[order], classes[order], place[order] % WIDTH
     (inputs, out, bias, word_out, word_bias), (m_inputs, m_out, m_bias, m_word, m_wbias) = parts(flat), parts(memory)
     h = _hidden(inputs, around)
 
     def step(w: np.ndarray, m: np.ndarray, at, g: np.ndarray) -> None:
         g /= n
-        m[at] += g * g
-        w[at] -= RATE * g / (np.sqrt(m[at]) + 1e-6)
+        seen = m[at] + g * g
+        m[at] = seen
+        w[at] -= RATE * g / (np.sqrt(seen, out=seen) + 1e-6)
 
     word_safe, word_masked = _bounded(word_out, word_bias), word_bias + words.word_mask
-    g = np.exp(_logits(h, out, bias + words.class_mask, _bounded(out, bias)))
+    g = _logits(h, out, bias + words.class_mask, _bounded(out, bias))
+    np.exp(g, out=g)
     g /= g.sum(1, keepdims=True)
     g[np.arange(n), classes] -= 1
     back = g @ out.T
-    for c, rows in _by_cluster(place):
-        hc = h[rows]
-        gc = np.exp(_logits(hc, word_out[c], word_masked[c], word_safe[c]))
+    g_word, g_wbias = np.zeros_like(word_out), np.zeros_like(word_bias)
+    for c, rows in _clusters(classes):
+        gc = _logits(h[rows], word_out[c], word_masked[c], word_safe[c])
+        np.exp(gc, out=gc)
         gc /= gc.sum(1, keepdims=True)
-        gc[np.arange(len(rows)), place[rows] % WIDTH] -= 1
+        gc[np.arange(len(gc)), slot[rows]] -= 1
         back[rows] += gc @ word_out[c].T
-        step(word_out, m_word, c, hc.T @ gc)
-        step(word_bias, m_wbias, c, gc.sum(0))
+        g_word[c], g_wbias[c] = h[rows].T @ gc, gc.sum(0)
+    step(word_out, m_word, slice(None), g_word)
+    step(word_bias, m_wbias, slice(None), g_wbias)
     step(out, m_out, slice(None), h.T @ g)
     step(bias, m_bias, slice(None), g.sum(0))
     back *= 1 - h * h
     for k in range(2 * SIDE):
-        order = np.argsort(around[:, k], kind="stable")
-        names, starts = np.unique(around[order, k], return_index=True)
-        step(inputs[k], m_inputs[k], names, np.add.reduceat(back[order], starts, axis=0))
+        order = _order(around[:, k])
+        names = around[order, k]
+        starts = np.nonzero(np.diff(names, prepend=-1))[0]
+        step(inputs[k], m_inputs[k], names[starts], np.add.reduceat(back.take(order, axis=0), starts, axis=0))
 
 
 @dataclass
@@ -399,25 +410,25 @@ def _train_part(shared):
         model = shared.value
         flat, memory, held, n, seen = model.weights.copy(), np.full_like(model.weights, 1e-6), [], 0, 0
 
-        def step() -> None:
-            around, classes, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            for at in range(0, len(classes), BLOCK):
-                cut = slice(at, at + BLOCK)
-                learn(flat, memory, model.words, around[cut], classes[cut], place[cut])
+        def step(least: int) -> None:
+            """Learns from the held tokens in blocks; a rest of fewer than `least` is held on."""
+            nonlocal held, n
+            tokens = [np.concatenate(x) for x in zip(*held, strict=True)]
+            at = 0
+            while n - at >= least:
+                learn(flat, memory, model.words, *(x[at : at + BLOCK] for x in tokens))
+                at = min(n, at + BLOCK)
+            held, n = [[x[at:] for x in tokens]], n - at
 
         keys = [document_key(None if pd.isna(i) else int(i), t) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
         for k in sorted(range(len(keys)), key=keys.__getitem__):
             _, place, classes, inputs = model.read(pdf["text"].iloc[k])
-            pick = slice(keys[k] % STRIDE, None, STRIDE)
-            if len(classes[pick]):
-                held.append((windows(inputs)[pick], classes[pick], place[pick]))
-                n += len(held[-1][1])
+            held.append((windows(inputs), classes, place))
+            n, seen = n + len(classes), seen + len(classes)
             if n >= BLOCK:
-                step()
-                held, seen, n = [], seen + n, 0
+                step(BLOCK)
         if n:
-            step()
-        seen += n
+            step(1)
         w = np.split(flat, np.linspace(0, len(flat), SLICES + 1).astype(int)[1:-1])
         return pd.DataFrame({"slice": np.arange(SLICES, dtype=np.int32), "w": [x.tobytes() for x in w], "n": np.full(SLICES, seen, np.int64)})
 

@@ -2,8 +2,10 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.llm import pseudo_likelihood as P
@@ -108,3 +110,21 @@ def test_seen_order_is_likelier_and_a_twin_is_no_novelty(spark):
     got = {r["doc_id"]: r for r in P.score(docs, P.train(docs)).collect()}
     assert got[500]["pll_per_token"] > got[501]["pll_per_token"] + 0.3
     assert got[600]["pll"] == pytest.approx(got[603]["pll"])
+
+
+def test_every_token_trains_the_network(model, rows, monkeypatch):
+    """Each token, with its neighbours, is learnt from once, in full blocks but the last."""
+    texts, found, sizes = pd.DataFrame([(i, t) for i, t in rows if t], columns=["doc_id", "text"]), Counter(), []
+
+    def learn(flat, memory, words, around, classes, place):
+        sizes.append(len(classes))
+        found.update(zip(map(tuple, around.tolist()), classes.tolist(), place.tolist(), strict=True))
+
+    monkeypatch.setattr(P, "learn", learn)
+    out = P._train_part(SimpleNamespace(value=model))(texts)
+    want = Counter()
+    for t in texts["text"]:
+        _, place, classes, inputs = model.read(t)
+        want.update(zip(map(tuple, P.windows(inputs).tolist()), classes.tolist(), place.tolist(), strict=True))
+    assert found == want and set(out["n"]) == {sum(len(t.split()) for t in texts["text"])}
+    assert len(sizes) > 2 and set(sizes[:-1]) == {P.BLOCK} and sizes[-1] <= P.BLOCK
