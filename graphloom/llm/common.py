@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
+import gc
 import os
 import re
 import shutil
@@ -14,6 +16,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,20 @@ def settle() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """Has the driver forget the plans and broadcasts that nothing refers to, and gives freed memory of its Python and JVM back to the system."""
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # not every JVM has this command
+        server, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class isn't open
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = name, "systemTrimNativeHeap"
+        call.invoke(server, args)
+    settle()
+
+
 class Memo(dict):
     """A dict that computes what is missing and forgets everything when it is full; long keys are not held."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bucket_of_id, prepare, settle
+from graphloom.llm.common import bucket_of_id, prepare, settle, settle_driver
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (3, 4)
 PER_LANGUAGE, EPOCHS, RATE = 500, 12, 4.0
@@ -235,5 +235,5 @@ def train_on(docs: DataFrame, folds: int = 3, held: int = 1) -> LanguageModel:
     """A model from the rows of documents with a language whose crc32 of the id, modulo folds, isn't `held`."""
     prepare(docs.sparkSession)
     model = train(labelled_sample(docs, bucket_of_id("doc_id", folds) != held))
-    settle()
+    settle_driver(docs.sparkSession)
     return model

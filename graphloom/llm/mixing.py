@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, stored
+from graphloom.llm.common import discard, settle_driver, stored
 
 MARGINS = ("source", "lang", "topic")
 #: Target share of a margin's value: its token share to this power, over their sum (1 keeps the shares, 0 makes them equal).
@@ -110,6 +110,7 @@ def cell_probabilities(base: DataFrame, powers: dict[str, float] | None = None,
     powers, targets = POWERS | (powers or {}), targets or {}
     cells = stored(base.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("t")), "cells")
     total = cells.agg(F.sum("t")).first()[0] or 0.0
+    settle_driver(base.sparkSession)
     goals = {m: _goals(cells, m, powers[m], targets.get(m)) for m in MARGINS}
     reach = [goals[m].filter("goal > 0").agg(F.min(F.col("have") / F.col("goal"))).first()[0] for m in MARGINS]
     size = budget * min([total, *(r for r in reach if r is not None)])
@@ -133,8 +134,10 @@ def cell_probabilities(base: DataFrame, powers: dict[str, float] | None = None,
         err, lack = cells.agg(F.max("err"), F.max("lack")).first()
         if err <= TOLERANCE:
             break
-        if n % SHRINK == 0 and lack > 1.01:
-            size = max(least, size / lack * SPARE)
+        if n % SHRINK == 0:
+            settle_driver(base.sparkSession)  # each round leaves plans and broadcasts
+            if lack > 1.01:
+                size = max(least, size / lack * SPARE)
     return cells.select(*MARGINS, "t", F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("w") / F.col("t"))).otherwise(1.0).alias("prob"), *(f"goal_{m}" for m in MARGINS))
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Memo, discard, prepare, settle, stored
+from graphloom.llm.common import Memo, discard, prepare, settle, settle_driver, stored
 
 ROWS, TABLES = 3, 16
 #: Bounds of a tile: bytes of sets and sketches, and documents; a document takes so many bytes beside its set.
@@ -124,6 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = stored(step.join(jump, step.label == jump.at, "left").select("id", "old", F.coalesce("next", "label").alias("label")), "labels")
         discard(labels, step)
         labels = moved
+        settle_driver(edges.sparkSession)
         if moved.filter("old <> label").isEmpty():
             discard(both)
             return labels
@@ -312,6 +313,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
         _WORDS.clear()
         settle()
 
+    settle_driver(docs.sparkSession)
     sets = stored(wanted.mapInArrow(full, "id long, digest binary, n_shingles long, signature binary, centres array<long>, set binary"), "sets")
     links = stored(_star_links(sets, percent).union(_repeated_ids(rows, classes)), "links")
     labels = components(links)
@@ -320,7 +322,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
     discard(sets, firsts, own, labels, *behind)
     labels = components(links.union(found))
     discard(links, found)
-    settle()
+    settle_driver(docs.sparkSession)
 
     # classes of one row without links need no lookup
     moved = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"), "n", "rep")
