@@ -40,22 +40,25 @@ BORDER, CELLS = TOP + RARE_INPUTS, 1 << 20
 SIDE, HIDDEN, RATE = 2, 24, 0.08
 ROUNDS, LEAST_PARTS, LEAST_BUCKETS = 2, 8, 64
 PART_CHARS, BUCKET_CHARS = 24 << 20, 4 << 20
-BLOCK, SCORED, CHUNK, SLICES = 8192, 16384, 4 << 20, 16
+BLOCK, SCORED, RUN, CHUNK, SLICES = 8192, 16384, 512, 4 << 20, 16
+REACH, LONGEST = 1 << 17, 1024  # bytes of a text that are hashed in one go, and after which a word's places start anew
 ALPHAS = np.geomspace(0.01, 2.0, 24)
 _SHAPES = [(2 * SIDE, BORDER + 1, HIDDEN), (HIDDEN, CLASSES), (CLASSES,), (CLUSTERS, HIDDEN, WIDTH), (CLUSTERS, WIDTH)]
 _ENDS = np.cumsum([int(np.prod(s)) for s in _SHAPES]).tolist()
 _RNG = np.random.default_rng(31)
 _BYTES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTES[_SPACE] = 0
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(REACH, _FACTOR, np.uint64))
+_INVERSES = np.cumprod(np.full(REACH, pow(_FACTOR, -1, 1 << 64), np.uint64)) * np.uint64(_FACTOR)
+_BYTES[[9, 10, 11, 12, 13, 32]] = 0
 _LOW = np.uint64(CONTEXTS - 1)
+_ROWS, _ONES = np.arange(RUN), np.ones(max(CLASSES, WIDTH), np.float32)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words, cut at ASCII white space; the low 6 of the 64 bits are 0."""
     raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
-    space = _SPACE[raw]
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
     first = ~space
     first[1:] &= space[:-1]
     starts = np.nonzero(first)[0]
@@ -63,9 +66,13 @@ def word_hashes(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     raw, starts = raw[starts[0] :], starts - starts[0]
     # each word's bytes by their place in it; white space after a word adds nothing
-    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
-    place &= len(_POWERS) - 1
-    h = np.add.reduceat(_BYTES[raw] * _POWERS[place], starts)
+    if len(raw) <= REACH and (starts[1:] - starts[:-1]).max(initial=len(raw) - starts[-1]) <= LONGEST:
+        h = np.add.reduceat(_BYTES.take(raw) * _POWERS[: len(raw)], starts)
+        h *= _INVERSES[starts]  # places were counted from the text's start
+    else:
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
+        place &= LONGEST - 1
+        h = np.add.reduceat(_BYTES[raw] * _POWERS[place], starts)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ (h >> np.uint64(32))) & ~_LOW
@@ -123,14 +130,17 @@ class Vocabulary:
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
         """The place (cluster * WIDTH + slot) of each frequent word, -1 for the others."""
-        out = np.full(len(hashes), -1, np.int32)
-        if len(self.hashes):
-            for k in (self.first[cell_of(hashes)], self.second[self.other_cell(hashes)]):
-                some = np.nonzero(k >= 0)[0]
-                some = some[self.hashes[k[some]] == hashes[some]]
-                out[some] = self.place[k[some]]
-            for k in self.rest:
-                out[hashes == self.hashes[k]] = self.place[k]
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        k = self.first.take(cell_of(hashes))
+        out = np.where(self.hashes.take(k) == hashes, self.place.take(k), np.int32(-1))  # at -1 stands the last word: equal only if it is the one asked for
+        some = np.nonzero(out < 0)[0]
+        odd = hashes[some]
+        k = self.second.take(self.other_cell(odd))
+        found = np.nonzero(self.hashes.take(k) == odd)[0]
+        out[some[found]] = self.place[k[found]]
+        for k in self.rest:
+            out[hashes == self.hashes[k]] = self.place[k]
         return out
 
 
@@ -176,19 +186,33 @@ def _bounded(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return (np.abs(weights).sum(-2) + np.abs(bias)).max(-1) < 60
 
 
-def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool) -> np.ndarray:
-    z = h @ weights
-    z += bias
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights, and the biases as one more row, that of a hidden value of 1."""
+    return np.concatenate([weights, bias[..., None, :]], -2)
+
+
+def _logits(h: np.ndarray, weights: np.ndarray, bounded: bool, space: np.ndarray) -> np.ndarray:
+    """Of at most RUN rows, in the given space, which the next ones use again: it stays in a core's cache."""
+    z = np.matmul(h, weights, out=space[: len(h) * weights.shape[1]].reshape(len(h), -1))
     if not bounded:
         z -= z.max(1, keepdims=True)
     return z
 
 
 def _hidden(inputs: np.ndarray, around: np.ndarray) -> np.ndarray:
-    h = inputs[0].take(around[:, 0], axis=0)
+    """The hidden values of each token, and a last one of 1; `around` has a row for each neighbour."""
+    h = np.ones((around.shape[1], HIDDEN + 1), np.float32)
+    z = inputs[0].take(around[0], axis=0)
     for k in range(1, 2 * SIDE):
-        h += inputs[k].take(around[:, k], axis=0)
-    return np.tanh(h, out=h)
+        z += inputs[k].take(around[k], axis=0)
+    np.tanh(z, out=h[:, :HIDDEN])
+    return h
+
+
+def _sorted(around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens by class: their order, and of each its neighbours (a row each), class and slot."""
+    order = _order(classes)
+    return order, np.ascontiguousarray(around.take(order, axis=0).T, np.intp), classes[order], place[order] % WIDTH
 
 
 def _order(keys: np.ndarray) -> np.ndarray:
@@ -196,69 +220,93 @@ def _order(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys.astype(np.int16), kind="stable")
 
 
+def _runs(a: int, b: int) -> Iterator[slice]:
+    yield from (slice(k, min(b, k + RUN)) for k in range(a, b, RUN))
+
+
 def _clusters(classes: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Each cluster among the sorted classes, with the rows that it has."""
+    """Each cluster among the sorted classes, with the rows that it has, in runs."""
     ends = np.searchsorted(classes, np.arange(CLUSTERS + 1)).tolist()
-    yield from ((c, slice(a, b)) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b)
+    yield from ((c, rows) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) for rows in _runs(a, b))
 
 
 def log_probabilities(flat: np.ndarray, words: Vocabulary, around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Log-probability of each token's class and, for frequent words, of the word in its cluster."""
     inputs, out, bias, word_out, word_bias = parts(flat)
-    total, safe, word_safe = np.zeros(len(classes)), _bounded(out, bias), _bounded(word_out, word_bias)
-    masked, word_masked = bias + words.class_mask, word_bias + words.word_mask
-    for at in range(0, len(classes), SCORED):
-        order = at + _order(classes[at : at + SCORED])
-        of, slot = classes[order], place[order] % WIDTH
-        h = _hidden(inputs, around[order])
-        z = _logits(h, out, masked, safe)
-        own = z[np.arange(len(h)), of]
-        got = (own - np.log(np.exp(z, out=z).sum(1))).astype(np.float64)
+    both, safe = _with_bias(out, bias + words.class_mask), _bounded(out, bias)
+    word_both, word_safe = _with_bias(word_out, word_bias + words.word_mask), _bounded(word_out, word_bias)
+    total, space = np.zeros(len(classes)), np.empty(RUN * max(CLASSES, WIDTH), np.float32)
+
+    def chunk(around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, near, of, slot = _sorted(around, classes, place)
+        h = _hidden(inputs, near)
+        own, sums = np.empty(len(h), np.float32), np.empty(len(h), np.float32)
+
+        def ask(rows: slice, weights: np.ndarray, bounded: bool, names: np.ndarray) -> None:
+            z = _logits(h[rows], weights, bounded, space)
+            own[rows] = z.ravel().take(_ROWS[: len(z)] * z.shape[1] + names[rows])
+            np.matmul(np.exp(z, out=z), _ONES[: z.shape[1]], out=sums[rows])
+
+        for rows in _runs(0, len(h)):
+            ask(rows, both, safe, of)
+        got, frequent = (own - np.log(sums)).astype(np.float64), np.searchsorted(of, CLUSTERS)
         for c, rows in _clusters(of):
-            z = _logits(h[rows], word_out[c], word_masked[c], word_safe[c])
-            own = z[np.arange(len(z)), slot[rows]]
-            got[rows] += own - np.log(np.exp(z, out=z).sum(1))
-        total[order] = got
+            ask(rows, word_both[c], word_safe[c], slot)
+        got[:frequent] += own[:frequent] - np.log(sums[:frequent])
+        return order, got
+
+    for at in range(0, len(classes), SCORED):
+        order, got = chunk(*(x[at : at + SCORED] for x in (around, classes, place)))
+        total[at + order] = got
     return total
 
 
 def learn(flat: np.ndarray, memory: np.ndarray, words: Vocabulary, around: np.ndarray, classes: np.ndarray, place: np.ndarray) -> None:
-    """One Adagrad step on a block of tokens, in place; only the weights that the block meets are touched."""
-    n, order = len(classes), _order(classes)
-    around, classes, slot = around[order], classes[order], place[order] % WIDTH
+    """One Adagrad step on a block of tokens, in place; weights that the block doesn't meet stay as they are."""
+    n = len(classes)
+    _, near, of, slot = _sorted(around, classes, place)
     (inputs, out, bias, word_out, word_bias), (m_inputs, m_out, m_bias, m_word, m_wbias) = parts(flat), parts(memory)
-    h = _hidden(inputs, around)
+    h, space = _hidden(inputs, near), np.empty(RUN * max(CLASSES, WIDTH), np.float32)
 
-    def step(w: np.ndarray, m: np.ndarray, at, g: np.ndarray) -> None:
+    def step(w: np.ndarray, m: np.ndarray, g: np.ndarray) -> None:
         g /= n
-        seen = m[at] + g * g
-        m[at] = seen
-        w[at] -= RATE * g / (np.sqrt(seen, out=seen) + 1e-6)
-
-    word_safe, word_masked = _bounded(word_out, word_bias), word_bias + words.word_mask
-    g = _logits(h, out, bias + words.class_mask, _bounded(out, bias))
-    np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(n), classes] -= 1
-    back = g @ out.T
-    g_word, g_wbias = np.zeros_like(word_out), np.zeros_like(word_bias)
-    for c, rows in _clusters(classes):
-        gc = _logits(h[rows], word_out[c], word_masked[c], word_safe[c])
-        np.exp(gc, out=gc)
-        gc /= gc.sum(1, keepdims=True)
-        gc[np.arange(len(gc)), slot[rows]] -= 1
-        back[rows] += gc @ word_out[c].T
-        g_word[c], g_wbias[c] = h[rows].T @ gc, gc.sum(0)
-    step(word_out, m_word, slice(None), g_word)
-    step(word_bias, m_wbias, slice(None), g_wbias)
-    step(out, m_out, slice(None), h.T @ g)
-    step(bias, m_bias, slice(None), g.sum(0))
+        m += g * g
+        root = np.sqrt(m)
+        root += 1e-6
+        g *= RATE
+        g /= root
+        w -= g
+
+    def errors(rows: slice, weights: np.ndarray, bounded: bool, names: np.ndarray) -> np.ndarray:
+        """The softmax, less 1 at the outcome."""
+        g = _logits(h[rows], weights, bounded, space)
+        np.exp(g, out=g)
+        g /= (g @ _ONES[: g.shape[1]])[:, None]
+        g.ravel()[_ROWS[: len(g)] * g.shape[1] + names[rows]] -= 1
+        return g
+
+    both, safe = _with_bias(out, bias + words.class_mask), _bounded(out, bias)
+    word_both, word_safe = _with_bias(word_out, word_bias + words.word_mask), _bounded(word_out, word_bias)
+    back, g_both, g_word = np.empty((n, HIDDEN), np.float32), np.zeros_like(both), np.zeros_like(word_both)
+    for rows in _runs(0, n):
+        g = errors(rows, both, safe, of)
+        np.matmul(g, out.T, out=back[rows])
+        g_both += h[rows].T @ g
+    for c, rows in _clusters(of):
+        g = errors(rows, word_both[c], word_safe[c], slot)
+        back[rows] += g @ word_out[c].T
+        g_word[c] += h[rows].T @ g
+    step(word_out, m_word, g_word[:, :HIDDEN])
+    step(word_bias, m_wbias, g_word[:, HIDDEN])
+    step(out, m_out, g_both[:HIDDEN])
+    step(bias, m_bias, g_both[HIDDEN])
+    h = h[:, :HIDDEN]
     back *= 1 - h * h
+    pairs, into = back.view(np.complex64).ravel(), np.empty((BORDER + 1, HIDDEN), np.float32)  # two numbers are added at once
     for k in range(2 * SIDE):
-        order = _order(around[:, k])
-        names = around[order, k]
-        starts = np.nonzero(np.diff(names, prepend=-1))[0]
-        step(inputs[k], m_inputs[k], names[starts], np.add.reduceat(back.take(order, axis=0), starts, axis=0))
+        into[:] = 0
+        np.add.at(into.view(np.complex64).ravel(), (near[k][:, None] * (HIDDEN // 2) + _ROWS[: HIDDEN // 2]).ravel(), pairs)
+        step(inputs[k], m_inputs[k], into)
 
 
 @dataclass

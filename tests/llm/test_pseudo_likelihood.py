@@ -128,3 +128,67 @@ def test_every_token_trains_the_network(model, rows, monkeypatch):
         want.update(zip(map(tuple, P.windows(inputs).tolist()), classes.tolist(), place.tolist(), strict=True))
     assert found == want and set(out["n"]) == {sum(len(t.split()) for t in texts["text"])}
     assert len(sizes) > 2 and set(sizes[:-1]) == {P.BLOCK} and sizes[-1] <= P.BLOCK
+
+
+@pytest.mark.parametrize("scale", [1, 60])  # with large weights the logits' maxima are taken off
+def test_a_step_and_the_log_probabilities_are_plain_sums_in_little_space(monkeypatch, scale):
+    """Against plain double precision, with missing outputs and a cluster of half of the tokens; logits are made 256 KB at a time."""
+    rng, n, sizes, logits = np.random.default_rng(3), 5000, [], P._logits
+
+    def seen(*args):
+        z = logits(*args)
+        sizes.append(z.nbytes)
+        return z
+
+    monkeypatch.setattr(P, "_logits", seen)
+    class_mask, word_mask = np.zeros(P.CLASSES, np.float32), np.zeros((P.CLUSTERS, P.WIDTH), np.float32)
+    class_mask[P.CLUSTERS - 1], word_mask[:, 40:] = -np.inf, -np.inf
+    words = P.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), class_mask, word_mask)
+    classes = rng.permutation(np.append(np.full(n // 2, 2), rng.choice(np.delete(np.arange(P.CLASSES), P.CLUSTERS - 1), n - n // 2))).astype(np.int32)
+    place = np.where(classes < P.CLUSTERS, classes * P.WIDTH + rng.integers(0, 40, n), -1).astype(np.int32)
+    around = np.minimum(rng.zipf(1.3, (n, 2 * P.SIDE)) - 1, P.BORDER).astype(np.int32)
+    flat = P.start()
+    P.parts(flat)[1][:] *= scale
+    P.parts(flat)[3][:] *= scale
+    want, g = flat.astype(float), np.zeros(len(flat))
+    (inputs, out, bias, word_out, word_bias), (g_inputs, g_out, g_bias, g_word, g_wbias) = P.parts(want), P.parts(g)
+    h = np.tanh(sum(inputs[k][around[:, k]] for k in range(2 * P.SIDE)))
+    back, scores = np.zeros_like(h), np.zeros(n)
+
+    def softmax(rows, weights, biases, names, into):
+        z = h[rows] @ weights + biases
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        scores[rows] += np.log(p[np.arange(len(p)), names])
+        p[np.arange(len(p)), names] -= 1
+        back[rows] += p @ weights.T
+        into[0][:], into[1][:] = h[rows].T @ p, p.sum(0)
+
+    softmax(np.arange(n), out, bias + class_mask, classes, (g_out, g_bias))
+    for c in range(P.CLUSTERS):
+        rows = np.nonzero(classes == c)[0]
+        softmax(rows, word_out[c], word_bias[c] + word_mask[c], place[rows] % P.WIDTH, (g_word[c], g_wbias[c]))
+    for k in range(2 * P.SIDE):
+        np.add.at(g_inputs[k], around[:, k], back * (1 - h * h))
+    g /= n
+    assert P.log_probabilities(flat, words, around, classes, place) == pytest.approx(scores, abs=1e-4 * scale)
+    memory = np.full_like(flat, 1e-6)
+    P.learn(flat, memory, words, around, classes, place)
+    assert np.abs(flat - (want - P.RATE * g / (np.sqrt(1e-6 + g * g) + 1e-6))).max() < 1e-5 * scale
+    assert np.allclose(memory, 1e-6 + g * g, rtol=1e-4, atol=1e-6)
+    assert max(sizes) <= 1 << 18
+
+
+def test_hashes_are_plain_sums():
+    """Of words that are long, in texts that are long, and between all kinds of white space."""
+    powers = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(1024)]
+
+    def plain(word):
+        h = sum(int(P._BYTES[b]) * powers[j % 1024] for j, b in enumerate(word)) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return (h ^ h >> 32) & ~63
+
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcXYZ0é") for _ in range(rng.randint(1, 9))) for _ in range(30000))
+    for text in ("", " \t\n", "Two words", "\x0b a\fb\rc\x1cd\x00 ", "x" * 1023 + " y", "x" * 1024 + " y", "z " + "xy" * 1500 + " y", "a" + " " * 3000 + "b", long[:100000], long):
+        assert P.word_hashes(text).tolist() == [plain(w) for w in text.lower().encode().split()]
