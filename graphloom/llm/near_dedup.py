@@ -11,11 +11,15 @@
    most of those that it shares a key with, the one of most bands and the smallest: a number of pairs linear in
    the documents, which already merges most of a large group.
 4. What is left is searched completely. A band is open if its members aren't all merged, and a document if it has an
-   open band in each collection. Open documents are dealt into tiles of at most TILE_BYTES by their most frequent open
-   band, those of a large merged group apart from the rest. Tiles that meet in an open band are one task's group,
-   unless both are of one merged group; in it all pairs that share a key, aren't merged yet and can reach the
-   similarity by size and signature are confirmed on full sets. A hot group spreads over many tile pairs; none is
-   ever collected whole, no pairs are written out, and a merged group is sent only once for each tile of the rest.
+   open band in each collection. Of an open document's shingles, from rare to frequent, the first (100 - percent) % are its
+   prefix: with any similar document it shares one, at a place in both that allows their sizes. A shingle is live if such
+   places of documents not yet merged meet in it; those without live shingles have no more links. The others are dealt
+   into tiles of at most TILE_BYTES by the hottest live shingle that they or those they meet have, a large merged group
+   apart from the rest, and each goes to the tile pairs in which it meets another by a live shingle, unless both tiles are
+   of one merged group. A pair is one task's group, in which all that share a key, aren't merged yet and can reach the
+   similarity by size and signature are confirmed on full sets. A hot group spreads over many tile pairs; none is ever
+   collected whole and no pairs of documents are written out. The rows of tile pairs are one a document while a cluster
+   fits a tile; beyond that they grow with its live documents times its tiles.
 5. The links' components are found by min-label steps with pointer jumping, stored each step.
 
 Each intermediate table is deleted once its successors exist.
@@ -37,6 +41,8 @@ from graphloom.llm.common import Memo, discard, prepare, settle, settle_driver,
 ROWS, TABLES = 3, 16
 #: Bounds of a tile: bytes of sets and sketches, and documents; a document takes so many bytes beside its set.
 TILE_BYTES, TILE_DOCS, SKETCH_BYTES = 4 << 20, 4096, 400
+#: Buckets, a power of two, in which shingles are counted to order them by rarity; any order finds the same links.
+RARITY = 1 << 20
 #: Broadcast up to so many ids, and sketches of some 250 bytes.
 BROADCAST_IDS, BROADCAST_SKETCHES = 500_000, 100_000
 #: Signature agreement, of 2 * ROWS * TABLES minhashes, under which a pair at the similarity is too unlikely (5 deviations).
@@ -234,41 +240,103 @@ def _shared_bands(rows: DataFrame, first: int) -> DataFrame:
     return got
 
 
-def _open_tiles(active: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """t1, t2, tile and all that the search needs of each document of the tile pairs that meet in an open band; and stored tables behind it."""
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of RARITY buckets of hashes: orders shingles from rare to frequent, whatever collides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            counts += np.bincount(_buckets(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=RARITY)
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
+        settle()
+
+    got = sets.select("set").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.uint32)
+    out[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def _buckets(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - RARITY.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(found: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's rarest shingles of which one must be the first that it shares with a similar set, and of each the largest such set.
+
+    If the i-th (from 0) of n is the first shared, n - i at most are; so 100 * both >= percent * either bounds the other's size.
+    """
+    n = len(found)
+    size = n - -(-percent * n // 100) + 1
+    first = found[np.lexsort((found, rarity[_buckets(found)]))[:size]]
+    return first, (n - np.arange(size)) * (100 + percent) // percent - n
+
+
+def _prefixes(rarity: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [prefix(np.frombuffer(x.as_py(), np.uint64), rarity, percent) for x in batch.column(2)]
+            lists = [pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["id", "digest", "token", "reach"])
+        settle()
+
+    return run
+
+
+def _open_tiles(active: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """t1, t2, tile and all that the search needs of each document that can have a link across the tile pair; and stored tables behind it."""
     hashes = F.concat(F.transform("own_0", lambda b: F.struct(b["band"], b["hash"])), F.transform(f"own_{TABLES}", lambda b: F.struct(b["band"], b["hash"])))
     named = active.join(labels.select("id", "label"), "id", "left").select("id", "digest", "n_shingles", F.coalesce("label", "id").alias("label"), hashes.alias("hashes"))
     spread = named.select("id", "digest", "label", "n_shingles", F.inline("hashes"))
-    mixed = stored(spread.groupBy("hash").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("hash", "n"), "mixed")
+    mixed = stored(spread.groupBy("hash").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("hash"), "mixed")
     own = spread.join(mixed, "hash").groupBy("id", "digest").agg(
         F.first("label").alias("label"),
         F.first("n_shingles").alias("n_shingles"),
-        F.max(F.when(F.col("band") < TABLES, F.struct("n", "hash")))["hash"].alias("cluster"),
-        F.max(F.col("band") >= TABLES).alias("both"),
+        (F.max(F.col("band") < TABLES) & F.max(F.col("band") >= TABLES)).alias("both"),
         F.map_from_entries(F.collect_set(F.struct("band", "hash"))).alias("of"),  # 2 * TABLES values at most
     )
-    weight = (F.col("n_shingles") * 8 + SKETCH_BYTES).alias("bytes")
-    left = stored(own.filter(F.col("both") & F.col("cluster").isNotNull()).select("id", "digest", "label", "cluster", weight, F.transform(F.sequence(F.lit(0), F.lit(2 * TABLES - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("long"))).alias("bands")), "open")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(2 * TABLES - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("long"))).alias("bands")
+    left = stored(own.filter("both").select("id", "digest", "label", "n_shingles", bands), "open")
+    discard(mixed)
+
+    # similar sets share a shingle of both prefixes, at places that allow each other's size
+    firsts = sets.select("id", "digest", "set").mapInArrow(_prefixes(_rarity(sets), percent), "id long, digest binary, token array<long>, reach array<long>")
+    firsts = firsts.join(left.select("id", "digest", "label", "n_shingles"), ["id", "digest"])
+    at = stored(firsts.select("id", "digest", "label", "n_shingles", F.inline(F.arrays_zip("token", "reach"))), "prefixes")
+    several = [F.min("label").alias("a"), F.max("label").alias("b")]
+    met = at.groupBy("token").agg(*several, F.min("n_shingles").alias("low")).filter("a <> b").select("token", "low")
+    near = stored(at.join(met, "token").filter("low <= reach").drop("low", "reach"), "near")
+    heat = near.groupBy("token").agg(*several, F.count(F.lit(1)).alias("n")).filter("a <> b").select("token", "n")
+    live = stored(near.join(heat, "token"), "live")
+    discard(at, near)
+
+    # a document's cluster is the hottest shingle that it or one that it meets has: what meets a hot group shares tiles
+    top = live.groupBy("id", "digest").agg(F.max(F.struct("n", "token")).alias("top"))
+    best = live.join(top, ["id", "digest"]).groupBy("token").agg(F.max("top").alias("best"))
+    weight = (F.first("n_shingles") * 8 + SKETCH_BYTES).alias("bytes")
+    homes = stored(live.join(best, "token").groupBy("id", "digest").agg(F.first("label").alias("label"), weight, F.max("best")["token"].alias("cluster")), "homes")
     # a merged group of a quarter of a tile or more has tiles of its own; the rest of a cluster shares tiles
     parts = F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.ceil(F.count(F.lit(1)) / TILE_DOCS)).alias("parts")
     large = (F.sum("bytes") >= TILE_BYTES / 4) | (F.count(F.lit(1)) >= TILE_DOCS / 4)
-    groups = left.groupBy("cluster", "label").agg(parts, large.alias("large"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = homes.groupBy("cluster", "label").agg(parts, large.alias("large"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups, "groups")
     rest = groups.filter("not large").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.ceil(F.sum("n") / TILE_DOCS)).alias("shares"))
-    dealt = left.drop("bytes").join(groups.filter("large").select("cluster", "label", "parts"), ["cluster", "label"], "left").join(rest, "cluster", "left")
+    dealt = homes.drop("bytes").join(groups.filter("large").select("cluster", "label", "parts"), ["cluster", "label"], "left").join(rest, "cluster", "left")
     pure = F.when(F.col("parts").isNotNull(), F.col("label"))
     tile = F.xxhash64("cluster", F.coalesce(pure, F.lit(-1)), F.pmod(F.xxhash64("id"), F.coalesce("parts", "shares")))
-    tiled = stored(dealt.select("id", "digest", "label", "bands", tile.alias("tile"), pure.alias("pure")), "tiled")
-    discard(left, groups)
-    meet = tiled.select("tile", "pure", F.explode(F.slice("bands", 1, TABLES)).alias("hash")).filter("hash <> 0").groupBy("hash").agg(F.collect_set(F.struct("tile", "pure")).alias("tiles"))
-    apart = lambda s, t: F.when(s["tile"] == t["tile"], s["pure"].isNull()).otherwise((s["tile"] < t["tile"]) & ~F.coalesce(s["pure"] == t["pure"], F.lit(False)))
-    pairs = meet.select(F.explode("tiles").alias("s"), "tiles").select("s", F.explode("tiles").alias("t")).filter(apart(F.col("s"), F.col("t")))
-    pairs = stored(pairs.select(F.col("s.tile").alias("t1"), F.col("t.tile").alias("t2")).distinct(), "pairs")
-    asked = pairs.select("t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))
-    about = sets.select("id", "digest", "n_shingles", "signature", "set")
-    members = tiled.drop("pure").join(about, ["id", "digest"])
-    rows = asked.join(members, "tile").select("t1", "t2", "tile", "id", "label", "n_shingles", "bands", "signature", "set")
-    return rows.repartition("t1", "t2").sortWithinPartitions("t1", "t2"), [mixed, tiled, pairs]
+    tiled = stored(dealt.select("id", "digest", tile.alias("tile"), pure.alias("pure")), "tiled")
+    discard(homes, groups)
+
+    # a document goes to the tiles that have one of its live shingles, not to all that meet its tile
+    meet = live.select("id", "digest", "token").join(tiled, ["id", "digest"]).groupBy("token").agg(F.collect_set(F.struct("tile", "pure")).alias("tiles"))
+    reached = live.join(meet, "token").groupBy("id", "digest").agg(F.array_distinct(F.flatten(F.collect_set("tiles"))).alias("tiles"))
+    apart = lambda t: F.when(t["tile"] == F.col("tile"), t["pure"].isNull()).otherwise(~F.coalesce(t["pure"] == F.col("pure"), F.lit(False)))
+    pair = lambda t: F.struct(F.least("tile", t["tile"]).alias("t1"), F.greatest("tile", t["tile"]).alias("t2"))
+    asked = stored(tiled.join(reached, ["id", "digest"]).select("id", "digest", "tile", F.transform(F.filter("tiles", apart), pair).alias("pairs")), "asked")
+    discard(live, tiled)
+    members = asked.join(left.select("id", "digest", "label", "bands"), ["id", "digest"]).join(sets.select("id", "digest", "n_shingles", "signature", "set"), ["id", "digest"])
+    rows = members.select(F.inline("pairs"), "tile", "id", "label", "n_shingles", "bands", "signature", "set")
+    return rows.repartition("t1", "t2").sortWithinPartitions("t1", "t2"), [left, asked]
 
 
 def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +385,7 @@ def link_components(docs: DataFrame, percent: int = 85, words_each: int = 3, id_
     sets = stored(wanted.mapInArrow(full, "id long, digest binary, n_shingles long, signature binary, centres array<long>, set binary"), "sets")
     links = stored(_star_links(sets, percent).union(_repeated_ids(rows, classes)), "links")
     labels = components(links)
-    search, behind = _open_tiles(active, labels, sets)
+    search, behind = _open_tiles(active, labels, sets, percent)
     found = stored(search.mapInArrow(_search_tiles(percent), "x long, y long"), "links")
     discard(sets, firsts, own, labels, *behind)
     labels = components(links.union(found))

@@ -182,6 +182,46 @@ def test_large_partly_linked_group_equals_brute_force(spark):
     assert got == want and 10 < len(set(want.values())) < 2000
 
 
+def test_large_groups_meet_in_few_tile_pairs(spark, monkeypatch):
+    rng, words, sent = random.Random(6), [f"w{i}" for i in range(2000)], []
+    search = near_dedup._open_tiles
+
+    def counted(*args):
+        out = search(*args)
+        sent.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_open_tiles", counted)
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", 64 << 10)
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            text[rng.randrange(60)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.link_components(docs, 85, 3).collect()}
+    assert got == plain_components(rows, 85, 3)
+    assert 0 < sent[0] <= 2 * len(rows)
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(4)
+    rarity = rng.integers(0, 50, near_dedup.RARITY).astype(np.uint32)
+    pool, similar = rng.integers(0, 2**63, 60, dtype=np.uint64), 0
+    for _ in range(3000):
+        percent = int(rng.choice([50, 80, 85, 100]))
+        x = np.unique(rng.choice(pool, rng.integers(1, 40), replace=False))
+        y = np.unique(np.concatenate([x[: len(x) - rng.integers(0, 4)], rng.choice(pool, rng.integers(0, 4))]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+            similar += 1
+            p, q = (dict(zip(*(c.tolist() for c in near_dedup.prefix(s, rarity, percent)), strict=True)) for s in (x, y))
+            assert any(p[t] >= len(y) and q[t] >= len(x) for t in p.keys() & q.keys())
+    assert similar > 500
+
+
 def test_near_duplicates_of_repeated_ids_nulls_and_clashing_columns(spark):
     rows = [(4, "a b c d e f", "p"), (4, "x y z u v w", "p"), (2, "x y z u v w", "q"), (9, "a b c d e f", "q"), (4, "", "r"), (7, None, "r"), (None, "x y z u v w", "s"), (11, "  solo", "s"), (12, "Solo TWO", "s"), (13, "solo two", "s"), (14, "w " * 40000, "t"), (15, "w " * 40000, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
