@@ -44,6 +44,32 @@ def test_codec_equals_the_library():
         assert codec.decode(ids) == sp.decode(ids)
 
 
+def test_codec_encodes_unseen_units_together():
+    """Documents of invented words, odd ones among them, equal the library's, and few units are walked by themselves."""
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES), random.Random(11)
+    parts = "the tion ing and é ou euxe ño ré trou ст ра но , . ; - 's 20 7 日本 anti sh th er e a n s".split()
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(60)) for _ in range(300)]
+    texts += [None, "", " ", "\n", "▁x  y", "😀a b\tc\x00d", "a" * 3000, "e" * 47, "e" * 48 + " " + "e" * 49, "\r\n x\n\n", "ab cd" * 20]
+    alone, walk = [], codec._backtrack
+    codec._backtrack = lambda run: alone.append(run) or walk(run)
+    distinct = {u for t in texts for u in piece_codec.UNITS.findall(" " + (t or ""))}
+    for text, found in zip(texts, codec.encode_many(texts), strict=True):
+        ids = sp.encode(text or "")
+        assert " ".join(found) == " ".join(map(str, ids))
+        assert codec.decode(ids) == sp.decode(ids)
+    assert len(distinct) > 10_000 and len(alone) < len(distinct) / 10
+
+
+def test_codec_forgets_units_within_its_bound(monkeypatch):
+    monkeypatch.setattr(piece_codec, "UNITS_HELD", 500)
+    monkeypatch.setattr(piece_codec, "TOGETHER", 3000)
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES), random.Random(12)
+    texts = [" ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 9))) for _ in range(50)) for _ in range(200)]
+    for text, found in zip(texts, codec.encode_many(texts), strict=True):
+        assert " ".join(found) == " ".join(map(str, sp.encode(text)))
+    assert len(codec.units) <= 500
+
+
 def test_encoding_of_documents(spark, odd, nothing):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     out = piece_codec.encode_digests(odd, PIECES).collect()
